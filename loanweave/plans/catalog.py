@@ -92,4 +92,4 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from loanweave.plans import queries_marts  # noqa: F401
+    from loanweave.plans import queries_marts, queries_segments  # noqa: F401
