@@ -58,12 +58,20 @@ def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
     columns = sorted(set(a.columns))
     if columns != sorted(set(b.columns)):
         raise ValueError("tables have different columns")
-    fa = table_fingerprint(a, columns).toDF("rows_a", "print_a")
-    fb = table_fingerprint(b, columns).toDF("rows_b", "print_b")
-    return fa.crossJoin(fb).select(
+    sides = a.select(F.lit(True).alias("_left"), *columns).unionByName(
+        b.select(F.lit(False).alias("_left"), *columns)
+    )
+    left = F.col("_left")
+    prints = table_fingerprint(sides, columns, by=["_left"])
+    return prints.agg(
+        F.coalesce(F.sum(F.when(left, F.col("n_rows"))), F.lit(0)).alias("rows_a"),
+        F.coalesce(F.sum(F.when(~left, F.col("n_rows"))), F.lit(0)).alias("rows_b"),
+        F.max(F.when(left, F.col("fingerprint"))).alias("print_a"),
+        F.max(F.when(~left, F.col("fingerprint"))).alias("print_b"),
+    ).select(
         "rows_a", "rows_b",
-        ((F.col("rows_a") == F.col("rows_b")) & (F.col("print_a") == F.col("print_b")))
-        .alias("identical"),
+        ((F.col("rows_a") == F.col("rows_b"))
+         & F.col("print_a").eqNullSafe(F.col("print_b"))).alias("identical"),
     )
 
 

@@ -17,7 +17,14 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, LongType, NumericType, TimestampType
+from pyspark.sql.types import (
+    DateType,
+    DecimalType,
+    LongType,
+    NumericType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 ROWS_PER_CELL_KEY = "spark.loanweave.rowsPerCell"
 DEFAULT_ROWS_PER_CELL = 1_000_000
@@ -29,8 +36,8 @@ def _as_double(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, DateType):
         return F.unix_date(name).cast("double")
-    if isinstance(kind, TimestampType):
-        return F.unix_micros(name).cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if isinstance(kind, NumericType):
         return F.col(name).cast("double")
     raise TypeError(f"order column {name!r} must be a number, a date or a timestamp")

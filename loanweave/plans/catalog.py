@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -75,6 +76,8 @@ def full_sql(body: str) -> str:
         return body.strip()
     parts = [f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in CTES if n in found]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
@@ -92,4 +95,5 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from loanweave.plans import queries_marts, queries_segments  # noqa: F401
+    for module in ("marts", "segments", "checks"):
+        importlib.import_module(f"loanweave.plans.queries_{module}")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,9 +183,18 @@ def _paid(spark: SparkSession, schedule: DataFrame) -> DataFrame:
     )
 
 
-class StarPortfolio:
+class StarPortfolio(Mapping[str, DataFrame]):
     """Portfolio tables of one star-schema folder, built on first use."""
 
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+    def __contains__(self, name: object) -> bool:
+        return name in TABLES
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
