@@ -280,3 +280,48 @@ def average_ranks(
         + [F.col(value).eqNullSafe(F.col("_v"))],
     )
     return df.join(ranked, on, "left").drop("_v", *[f"_g{i}" for i in range(len(group))])
+
+
+def exact_quantiles(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    rows_per_cell: int | None = None,
+) -> DataFrame:
+    """Linearly interpolated quantiles, one column per name in `probs`.
+
+    Works on value counts and running totals, so neither a group nor its distinct values
+    have to fit into one task.
+    """
+    group = list(group)
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*group, value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    placed = scan(
+        counts, group, value, Scan(sums={"_upto": "_n"}, totals={"_all": "_n"}),
+        rows_per_cell=rows_per_cell,
+    )
+    aggregates = []
+    for name, p in probs.items():
+        spot = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.floor(spot), F.ceil(spot)
+        # The value whose 0-based index range [upto-n, upto) holds the wanted index.
+        covers = lambda i: (i >= F.col("_upto") - F.col("_n")) & (i < F.col("_upto"))
+        v = F.col(value).cast("double")
+        aggregates += [
+            F.max(F.when(covers(low), v)).alias(f"_lo_{name}"),
+            F.max(F.when(covers(high), v)).alias(f"_hi_{name}"),
+            F.max(spot - low).alias(f"_f_{name}"),
+        ]
+    found = placed.groupBy(*group).agg(*aggregates)
+    return found.select(
+        *group,
+        *[
+            (F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")))
+            .alias(n)
+            for n in probs
+        ],
+    )
