@@ -16,6 +16,7 @@ from loanweave.functions.buckets import sample_tier
 from loanweave.functions.numeric import SHARE_FLOOR, entropy_term, equal_width_bin
 from loanweave.operators.asof import asof_join
 from loanweave.operators.scan import Scan, average_ranks, exact_quantiles, scan
+from loanweave.session import settle
 
 BINS = 20
 # Quantiles kept for features and for scores.
@@ -35,6 +36,11 @@ def _known(df: DataFrame) -> DataFrame:
     return df.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def value_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows k per (keys, feature, value): what distances, histograms and quantiles work on."""
+    return _known(df).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("k"))
+
+
 def _moments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     good = F.col("value").isNotNull() & ~F.isnan("value")
     v = F.when(good, F.col("value"))
@@ -61,18 +67,20 @@ def histogram(values: DataFrame, edges: DataFrame, keys: Sequence[str], bins: in
               clipped: bool = False) -> DataFrame:
     """Counts per (keys, feature, bin) for the equal-width bins between edge_lo and edge_hi.
 
-    `clipped` moves values outside into the end bins; otherwise they are dropped.
+    `clipped` moves values outside into the end bins; otherwise they are dropped. A column k
+    is taken as the number of rows a row stands for.
     """
+    w = F.col("k") if "k" in values.columns else F.lit(1).cast("bigint")
     joined = _known(values).join(edges.select("feature", "edge_lo", "edge_hi"), "feature")
     v = F.col("value")
     if clipped:
         v = F.least(F.greatest(v, F.col("edge_lo")), F.col("edge_hi"))
     b = equal_width_bin(v, F.col("edge_lo"), F.col("edge_hi"), bins)
     return (
-        joined.select(*keys, "feature", b.alias("bin"))
+        joined.select(*keys, "feature", b.alias("bin"), w.alias("_w"))
         .filter(F.col("bin").isNotNull())
         .groupBy(*keys, "feature", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_w").alias("n"))
     )
 
 
@@ -108,11 +116,11 @@ def divergences(reference_counts: DataFrame, batch_counts: DataFrame, keys: Sequ
 def distribution_table(reference: DataFrame, batches: DataFrame) -> DataFrame:
     """Reference distribution at every value of reference or batches, per feature.
 
-    below: share of the reference strictly below the value; upto: at or below it;
-    area: integral of the distribution function up to the value.
+    Both are value counts. below: share of the reference strictly below the value; upto: at
+    or below it; area: integral of the distribution function up to the value.
     """
-    ref = _known(reference).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    seen = _known(batches).select("feature", "value").distinct().withColumn(
+    ref = reference.select("feature", "value", F.col("k").alias("n"))
+    seen = batches.select("feature", "value").distinct().withColumn(
         "n", F.lit(0).cast("bigint")
     )
     points = ref.unionByName(seen).groupBy("feature", "value").agg(F.sum("n").alias("n"))
@@ -134,7 +142,8 @@ def distribution_table(reference: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def distances(reference: DataFrame, batches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Two-sample KS and Wasserstein-1 distance of every (keys, feature) to the reference.
+    """Two-sample KS and Wasserstein-1 distance of every (keys, feature) to the reference,
+    from value counts of both.
 
     Between two neighbouring batch values the batch function is constant and the reference
     function only rises, so its largest distance lies at the ends, and the area between them
@@ -142,9 +151,8 @@ def distances(reference: DataFrame, batches: DataFrame, keys: Sequence[str]) ->
     """
     keys = list(keys)
     group = [*keys, "feature"]
-    table = distribution_table(reference, batches)
-    own = _known(batches).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("k"))
-    ranked = scan(own, group, "value",
+    table = settle(distribution_table(reference, batches))
+    ranked = scan(batches, group, "value",
                   Scan(sums={"cum": "k"}, totals={"all": "k"}, leads={"next": "value"}))
     level = ranked.withColumn("g", F.col("cum") / F.col("all")).withColumn(
         "g_below", (F.col("cum") - F.col("k")) / F.col("all")
@@ -194,15 +202,20 @@ def feature_drift(reference: DataFrame, batches: DataFrame, keys: Sequence[str]
     """All drift measures of every (keys, feature)."""
     keys = list(keys)
     group = [*keys, "feature"]
-    edges = edges_of(reference)
+    # Everything but the moments works on value counts, which are computed once.
+    ref_counts = settle(value_counts(reference))
+    new_counts = settle(value_counts(batches, keys))
+    edges = edges_of(ref_counts)
     div = divergences(
-        histogram(reference, edges, [], bins), histogram(batches, edges, keys, bins, True),
+        histogram(ref_counts, edges, [], bins), histogram(new_counts, edges, keys, bins, True),
         keys, bins,
     )
-    ref = reference_statistics(reference, quantiles)
     names = {**quantiles, "median": 0.5}
+    ref = _moments(reference, ["feature"]).join(
+        exact_quantiles(ref_counts, ["feature"], "value", names, "k"), "feature"
+    )
     now = _moments(batches, group).join(
-        exact_quantiles(_known(batches), group, "value", names), group
+        exact_quantiles(new_counts, group, "value", names, "k"), group
     )
     stats = ref.select("feature", *[F.col(c).alias(f"r_{c}") for c in ref.columns
                                     if c != "feature"])
@@ -217,7 +230,8 @@ def feature_drift(reference: DataFrame, batches: DataFrame, keys: Sequence[str]
         (c("missingness") - c("r_missingness")).alias("missingness_delta"),
         *[(c(q) - c(f"r_{q}")).alias(f"{q}_shift") for q in quantiles],
     )
-    return shifts.join(div, group).join(distances(reference, batches, keys), group)
+    return shifts.join(div, group).join(
+        distances(ref_counts, new_counts, keys), group)
 
 
 def score_drift(reference: DataFrame, batches: DataFrame, band: Column, top_cut: float,

@@ -240,12 +240,15 @@ def installment_steps(installments: DataFrame, movements: DataFrame) -> DataFram
 
 
 def ledger_state(
-    probes: DataFrame, installments: DataFrame, steps: DataFrame, give_up_days: int | None = None
+    probes: DataFrame, installments: DataFrame, steps: DataFrame,
+    give_up_days: int | None = None, write_offs: DataFrame | None = None,
 ) -> DataFrame:
     """What the ledger says at every probe (run_id, contract_id, snapshot_date).
 
     Adds open_principal/interest/fees/total, cumulative_paid, past_due_amount, oldest_due,
-    next_due_date and dpd. `give_up_days` may be set when the caller stops a contract at the
+    next_due_date and dpd; with `write_offs` (contract, lost_on, lost) also cumulative_lost.
+    Events and probes are put on one time line per contract, so every as-of value is a running
+    total; an event of the probe's own day counts. `give_up_days` may be set when the caller stops a contract at the
     first month in which it is that late: overdue intervals are then not followed further.
     """
     first_step = F.col("at") == F.expr(ORIGIN)
@@ -266,6 +269,12 @@ def ledger_state(
         marks.unionByName(changes.withColumn("side", F.lit(0)), allowMissingColumns=True)
         .unionByName(dues.withColumn("side", F.lit(0)), allowMissingColumns=True)
     )
+    extra = []
+    if write_offs is not None:
+        lost = write_offs.select(*CONTRACT, F.col("lost_on").alias("at"), F.lit(0).alias("side"),
+                                 F.col("lost").cast(MONEY).alias("d_lost"))
+        line = line.unionByName(lost, allowMissingColumns=True)
+        extra = ["lost"]
     w = Window.partitionBy(*CONTRACT)
     upto = w.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     onward = w.orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
@@ -279,7 +288,11 @@ def ledger_state(
                 F.coalesce(F.sum(f"d_{p}").over(upto), _zero()).cast(MONEY).alias(f"open_{p}")
                 for p in PARTS
             ],
-            F.coalesce(F.sum("d_paid").over(upto), _zero()).cast(MONEY).alias("cumulative_paid"),
+            *[
+                F.coalesce(F.sum(f"d_{x}").over(upto), _zero()).cast(MONEY)
+                .alias(f"cumulative_{x}")
+                for x in ("paid", *extra)
+            ],
         )
         .filter(F.col("side") == 1)
         .drop("side")
@@ -358,8 +371,7 @@ def month_end_probes(contracts: DataFrame, installments: DataFrame, tail_days: i
 def monthly_ledger(
     contracts: DataFrame,
     installments: DataFrame,
-    payments: DataFrame,
-    allocations: DataFrame,
+    steps: DataFrame,
     charge_off_dpd: int = 180,
     tail_days: int = 240,
 ) -> DataFrame:
@@ -369,7 +381,6 @@ def monthly_ledger(
     kept in written_principal/interest/fees for the write-off event.
     """
     probes = month_end_probes(contracts, installments, tail_days)
-    steps = installment_steps(installments, settled_movements(allocations, payments))
     state = ledger_state(probes, installments, steps, give_up_days=charge_off_dpd)
     dated = state.withColumn(
         "status", contract_status(F.col("dpd"), F.col("open_total"), charge_off_dpd)

@@ -25,6 +25,7 @@ from loanweave.operators import evaluation as ev
 from loanweave.operators import features as ft
 from loanweave.operators.drift import rank_stability
 from loanweave.operators.replicates import poisson
+from loanweave.session import settle
 
 LABEL, ID = "y", "id"
 
@@ -196,13 +197,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
                            repeats: int = 3) -> DataFrame:
     """Mean and spread of the loss in average precision when one feature is shuffled."""
     base = ev.discrimination(score(model, df)).first()["pr_auc"]
-    parts = []
-    for f in features:
-        for r in range(repeats):
-            moved = score(model, ft.shuffle_column(df, ID, f, 100 + r))
-            parts.append(ev.discrimination(moved).select(
-                F.lit(f).alias("feature"), (F.lit(base) - F.col("pr_auc")).alias("drop")))
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("feature").agg(
+    # Features share one hash order per repeat; each shuffled copy is scored and tagged.
+    moved = settle(reduce(lambda a, b: a.unionByName(b), [
+        score(model, ft.shuffle_column(df, ID, f, 100 + r)).withColumns(
+            {"feature": F.lit(f), "repeat": F.lit(r)})
+        for f in features for r in range(repeats)
+    ]))
+    per = ev.discrimination(moved, ["feature", "repeat"])
+    return per.withColumn("drop", F.lit(base) - F.col("pr_auc")).groupBy("feature").agg(
         F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("spread"))
 
 
@@ -314,15 +316,17 @@ def reduce_by_vif(df: DataFrame, features: Sequence[str], limit: float = 10.0, k
 def split_stability(df: DataFrame, features: Sequence[str], seeds: Sequence[int],
                     shares: Mapping[str, float] | None = None) -> DataFrame:
     """Refit on several splits: mean and sample spread of the test metrics."""
-    parts = []
+    shares = shares or {"train": 0.6, "validation": 0.2, "test": 0.2}
+    scored = []
     for seed in seeds:
-        split = ft.stratified_split(df, ID, LABEL,
-                                    shares or {"train": 0.6, "validation": 0.2, "test": 0.2}, seed)
+        split = settle(ft.stratified_split(df, ID, LABEL, shares, seed))
         model = fit(split.filter(F.col("split") == "train"), features)
-        scored = score(model, split.filter(F.col("split") == "test"))
-        wide = ev._join(ev.discrimination(scored), ev.calibration_errors(scored), [])
-        parts.append(wide.select(F.lit(seed).alias("seed"), "roc_auc", "pr_auc", "brier_score"))
-    tidy = reduce(lambda a, b: a.unionByName(b), parts).unpivot(
+        scored.append(score(model, split.filter(F.col("split") == "test")).withColumn(
+            "seed", F.lit(seed)))
+    together = settle(reduce(lambda a, b: a.unionByName(b), scored))
+    wide = ev.discrimination(together, ["seed"]).join(
+        ev.calibration_errors(together, ["seed"]), "seed")
+    tidy = wide.select("seed", "roc_auc", "pr_auc", "brier_score").unpivot(
         ["seed"], ["roc_auc", "pr_auc", "brier_score"], "metric", "value")
     return tidy.groupBy("metric").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -386,14 +390,15 @@ def coefficient_stability(
 
 def retrain_null(df: DataFrame, features: Sequence[str], fits: int = 100) -> DataFrame:
     """Refits on shuffled targets: what the test AUC looks like when nothing can be learned."""
-    split = ft.stratified_split(df, ID, LABEL, {"train": 0.7, "test": 0.3})
+    split = settle(ft.stratified_split(df, ID, LABEL, {"train": 0.7, "test": 0.3}))
     train, test = (split.filter(F.col("split") == s) for s in ("train", "test"))
-    parts = []
-    for i in range(fits):
-        model = fit(ft.shuffle_column(train, ID, LABEL, 1000 + i), features)
-        parts.append(ev.discrimination(score(model, test)).select("roc_auc"))
+    scored = settle(reduce(lambda a, b: a.unionByName(b), [
+        score(fit(ft.shuffle_column(train, ID, LABEL, 1000 + i), features), test).withColumn(
+            "fit", F.lit(i))
+        for i in range(fits)
+    ]))
     real = ev.discrimination(score(fit(train, features), test)).first()["roc_auc"]
-    null = reduce(lambda a, b: a.unionByName(b), parts)
+    null = ev.discrimination(scored, ["fit"])
     return null.agg(
         F.lit(real).alias("real_auc"), F.count("roc_auc").alias("fits"),
         F.avg("roc_auc").alias("null_mean"), F.stddev_samp("roc_auc").alias("null_std"),
@@ -404,17 +409,17 @@ def stress_suite(model: PipelineModel, raw: DataFrame, features: Sequence[str],
                  edits: Mapping[str, float], engineer: Callable[[DataFrame], DataFrame]
                  ) -> DataFrame:
     """Metrics after each stress edit and the rank agreement with the unedited scores."""
-    clean = score(model, engineer(raw))
-    then = clean.select(ID, F.col("p").alias("p0"))
-    parts = []
-    for kind, strength in edits.items():
-        edited = score(model, engineer(ft.perturb(raw, kind, ID, strength, LABEL)))
-        wide = ev._join(ev.discrimination(edited), ev.calibration_errors(edited), [])
-        rank = rank_stability(edited.join(then, ID), "p", "p0")
-        parts.append(ev._join(wide, rank, []).select(
-            F.lit(kind).alias("edit"), F.lit(float(strength)).alias("strength"), "n", "roc_auc",
-            "pr_auc", "brier_score", "rank_stability"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    keys = ["edit", "strength"]
+    clean = score(model, engineer(raw)).select(ID, F.col("p").alias("p0"))
+    edited = settle(reduce(lambda a, b: a.unionByName(b), [
+        score(model, engineer(ft.perturb(raw, kind, ID, strength, LABEL))).withColumns(
+            {"edit": F.lit(kind), "strength": F.lit(float(strength))})
+        for kind, strength in edits.items()
+    ]).join(clean, ID))
+    wide = ev.discrimination(edited, keys).join(ev.calibration_errors(edited, keys), keys)
+    rank = rank_stability(edited, "p", "p0", keys)
+    return wide.join(rank, keys).select(*keys, "n", "roc_auc", "pr_auc", "brier_score",
+                                        "rank_stability")
 
 
 # --- comparison and gates --------------------------------------------------------------
@@ -422,9 +427,10 @@ def stress_suite(model: PipelineModel, raw: DataFrame, features: Sequence[str],
 
 def compare_models(scores: Mapping[str, DataFrame], threshold: float = 0.5) -> DataFrame:
     """One row per axis: every model's value, and the better model where an order exists."""
-    tidy = reduce(lambda a, b: a.unionByName(b), [
-        ev.all_metrics(df.withColumn("model", F.lit(n)), threshold, ["model"])
-        for n, df in scores.items()])
+    # All models are measured together, grouped by model.
+    together = settle(reduce(lambda a, b: a.unionByName(b), [
+        df.select(ID, LABEL, "p", F.lit(n).alias("model")) for n, df in scores.items()]))
+    tidy = ev.all_metrics(together, threshold, ["model"])
     lower = F.col("metric").isin("brier_score", "log_loss", "ece")
     best = tidy.filter(~F.col("metric").isin("prevalence", "calibration_intercept",
                                              "calibration_slope")).groupBy("metric").agg(

@@ -287,18 +287,19 @@ def exact_quantiles(
     group: Sequence[str],
     value: str,
     probs: Mapping[str, float],
+    weight: str | None = None,
     rows_per_cell: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name in `probs`.
 
-    Works on value counts and running totals, so neither a group nor its distinct values
+    `weight` names a column with the number of rows a row stands for. Works on value counts and running totals, so neither a group nor its distinct values
     have to fit into one task.
     """
     group = list(group)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     placed = scan(
         counts, group, value, Scan(sums={"_upto": "_n"}, totals={"_all": "_n"}),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loanweave.operators import alerts, batch_input, drift
 from loanweave.operators import evaluation as ev
+from loanweave.session import settle
 
 BATCH = ["batch_sequence"]
 
@@ -39,7 +40,8 @@ class Monitor:
         quality = batch_input.quality_rates(
             batch_input.mark_rows(readable, self.contract, BATCH), BATCH)
         clean, _ = batch_input.split_batch(readable, self.contract, BATCH)
-        scored = self.engineer_and_score(clean)
+        # Scored once; every measure below reads the stored result.
+        scored = settle(self.engineer_and_score(clean))
         parts = [
             self._table(quality, "data_quality", {m: m for m in alerts.QUALITY_METRICS}, run,
                         "row_count"),

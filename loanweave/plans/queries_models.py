@@ -15,6 +15,7 @@ from loanweave.operators import models as m
 from loanweave.plans.catalog import Source, cte, query
 from loanweave.plans.monitoring import Monitor, calibrate
 from loanweave.plans.queries_scores import batches, scores
+from loanweave.session import settle
 
 SHARES = {"train": 0.6, "validation": 0.2, "test": 0.2}
 
@@ -195,7 +196,7 @@ MODEL_FEATURES = ("max_delinquency_status", "delinquency_trend", "avg_bill_amoun
 
 
 def parts(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
-    split = ft.stratified_split(frame(s), "id", "y", SHARES)
+    split = settle(ft.stratified_split(frame(s), "id", "y", SHARES))
     return tuple(split.filter(F.col("split") == n) for n in SHARES)
 
 
@@ -353,13 +354,13 @@ FROM (SELECT DISTINCT cast(ts AS date) - DATE '2024-01-01' + 1 AS batch_sequence
 cte(
     "grp",
     """SELECT category, batch_sequence, n_signals, nx, blocked, CASE WHEN blocked THEN 'high'
-    WHEN strong AND nx THEN 'high' WHEN some THEN 'medium' ELSE 'low' END AS severity FROM (
+    WHEN strong AND nx THEN 'high' WHEN any_hit THEN 'medium' ELSE 'low' END AS severity FROM (
     SELECT *, coalesce(lead(batch_sequence) OVER (PARTITION BY category ORDER BY batch_sequence)
         = batch_sequence + 1, false) AS nx FROM (
     SELECT category, batch_sequence, count(*) AS n_signals,
         bool_or(status = 'blocked_input') AS blocked,
         bool_or(status = 'material_deviation') AS strong,
-        bool_or(status IN ('material_deviation', 'review')) AS some FROM sig GROUP BY 1, 2))""",
+        bool_or(status IN ('material_deviation', 'review')) AS any_hit FROM sig GROUP BY 1, 2))""",
 )
 cte(
     "inc",
@@ -593,7 +594,7 @@ def _monitor(s: Source) -> tuple[Monitor, DataFrame]:
     train = parts(s)[0]
     model = m.fit(train, MODEL_FEATURES)
     keep = ["id", "y", "segment", *MODEL_FEATURES]
-    reference = m.score(model, train, keep)
+    reference = settle(m.score(model, train, keep))
     raw_columns = ("X1", *ft.DELINQUENCY, *ft.BILLS, *ft.PAID)
     contract = batch_input.BatchContract(
         "id", raw_columns, domains={n: tuple(range(-2, 10)) for n in ft.DELINQUENCY},
@@ -604,7 +605,7 @@ def _monitor(s: Source) -> tuple[Monitor, DataFrame]:
         made = ft.behavioural_features(clean, ["batch_sequence", "id", "y", "segment"])
         return m.score(model, made, ["batch_sequence", *keep])
 
-    limits = calibrate(reference, MODEL_FEATURES, ["segment"], 100, 50)
+    limits = settle(calibrate(reference, MODEL_FEATURES, ["segment"], 100, 50))
     monitor = Monitor(reference, limits, contract, MODEL_FEATURES, ("segment",), engineer,
                       model="v1")
     raw = ft.number_batches(accounts(s), "id", 100)

@@ -109,9 +109,15 @@ def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         money(price * (1 - disc)).alias("scheduled_principal"),
         money(price * tax).alias("scheduled_interest"),
     )
-    booked = _orders(spark, sf_dir).filter(F.col("outcome") == "approved").groupBy(
-        "o_orderkey", "o_custkey", "o_orderdate"
-    ).agg(F.sort_array(F.collect_set("run_id")).alias("runs"))
+    o = raw(spark, sf_dir, "orders")
+    usual = F.col("o_orderstatus").isin("F", "O")
+    wide = usual | (F.col("o_orderkey") % 3 == 0)
+    runs = F.array_compact(
+        F.array(F.when(usual, BASELINE), F.when(wide, EXPANSION), F.when(usual, STRESS))
+    )
+    booked = o.filter(F.col("o_orderkey") % 10 != 0).select(
+        "o_orderkey", "o_custkey", "o_orderdate", runs.alias("runs")
+    )
     return numbered.join(booked, "o_orderkey").select(
         F.explode("runs").alias("run_id"),
         F.col("o_orderkey").alias("contract_id"),
@@ -201,7 +207,7 @@ class StarPortfolio(Mapping[str, DataFrame]):
 
     def __getitem__(self, name: str) -> DataFrame:
         """The table, read from the copy written in this session."""
-        if name not in TABLES and name not in ("_schedule", "_paid", "_ledger"):
+        if name not in TABLES and name not in ("_schedule", "_paid", "_steps", "_ledger"):
             raise KeyError(name)
         key = (f"{self.spark.sparkContext.applicationId}:{self.sf_dir}", name)
         with _lock:
@@ -225,8 +231,13 @@ class StarPortfolio(Mapping[str, DataFrame]):
     def build_ledger(self) -> DataFrame:
         contracts = self["contracts"].select("run_id", "contract_id", "disbursement_date")
         return ledger.monthly_ledger(
-            contracts, self["_schedule"], self["payments"], self["payment_allocations"],
-            CHARGE_OFF_DPD, TAIL_DAYS,
+            contracts, self["_schedule"], self["_steps"], CHARGE_OFF_DPD, TAIL_DAYS
+        )
+
+    def build_steps(self) -> DataFrame:
+        return ledger.installment_steps(
+            self["_schedule"],
+            ledger.settled_movements(self["payment_allocations"], self["payments"]),
         )
 
     # Portfolio tables.
@@ -400,13 +411,9 @@ class StarPortfolio(Mapping[str, DataFrame]):
         )
 
     def build_installments(self) -> DataFrame:
-        steps = ledger.installment_steps(
-            self["_schedule"],
-            ledger.settled_movements(self["payment_allocations"], self["payments"]),
-        )
         lost = self["write_off_events"].select("run_id", "contract_id")
         done = ledger.installment_status(
-            self["_schedule"], steps, lost, F.lit("2001-12-31").cast("date")
+            self["_schedule"], self["_steps"], lost, F.lit("2001-12-31").cast("date")
         )
         return tagged(
             done.select(

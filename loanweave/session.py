@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the result is stored in the shared folder and its lineage is cut.
+
+    For small intermediate results that several later steps read, and between model fits.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
