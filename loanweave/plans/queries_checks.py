@@ -16,7 +16,7 @@ from loanweave.operators import (
     validation,
 )
 from loanweave.operators.asof import asof_join
-from loanweave.operators.findings import union
+from loanweave.operators.findings import report, union
 from loanweave.operators.fingerprint import build_fingerprint, check_recorded, table_fingerprint
 from loanweave.operators.scan import Scan, scan
 from loanweave.plans.catalog import Source, query
@@ -59,9 +59,8 @@ def finding(code: str, contract: str, column: str, source: str, bad: str, exampl
 def contract_findings(s: Source) -> DataFrame:
     t = s.tables
     names = ("applications", "fairness_attributes", "contracts", "account_monthly_snapshots")
-    return flat(union([
-        validation.validate(OPERATIONAL[n], t, "strict", SCOPE, rules=False) for n in names
-    ]))
+    return flat(validation.validate_all(
+        {n: OPERATIONAL[n] for n in names}, t, "strict", SCOPE, rules=False))
 
 
 @query(
@@ -81,7 +80,7 @@ def key_findings(s: Source) -> DataFrame:
                                 "PK_DUPLICATE", "lineitem")
     known = s.raw("customer").filter(F.col("c_mktsegment") == "BUILDING")
     lost = validation.orphans(s.raw("orders"), known, "o_custkey", "c_custkey", (), "orders")
-    return flat(lines.unionByName(lost))
+    return flat(report([lines, lost]))
 
 
 def _of(s: Source, table: str, run: str) -> DataFrame:

@@ -6,6 +6,7 @@ Everything here is a default: a value the cluster has already set is kept.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,10 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g",
+    extra: Mapping[str, str] | None = None,
+) -> SparkSession:
     """Session for tests and for the benchmark on one machine."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,7 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

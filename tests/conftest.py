@@ -15,6 +15,8 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     from loanweave.session import local_session
 
-    session = local_session("8", shuffle_partitions=4, memory="8g")
+    # The fixtures are tiny: few tasks, and no compiled stages.
+    session = local_session("8", shuffle_partitions=2, memory="8g", extra={
+        "spark.default.parallelism": "1", "spark.sql.codegen.wholeStage": "false"})
     yield session
     session.stop()
