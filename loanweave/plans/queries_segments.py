@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanweave.functions.buckets import code_label, range_label
 from loanweave.operators import ledger, scenarios, segments
 from loanweave.operators.insights import insight_table
 from loanweave.operators.fingerprint import population_fingerprint, same_content
@@ -486,3 +487,25 @@ def insights(s: Source) -> DataFrame:
 
 
 
+
+
+AMOUNT_RANGES = ((0, 100000), (100000, 250000), (250000, 500000))
+ORDER_LABELS = {"F": "filled", "O": "open"}
+
+
+@query(
+    "labelled_amounts",
+    "F8 F9",
+    """SELECT CASE WHEN o_totalprice >= 0 AND o_totalprice < 100000 THEN '0-100000'
+            WHEN o_totalprice >= 100000 AND o_totalprice < 250000 THEN '100000-250000'
+            WHEN o_totalprice >= 250000 AND o_totalprice < 500000 THEN '250000-500000'
+            ELSE 'out_of_range' END AS amount_range,
+        CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open'
+            ELSE 'undocumented_code' END AS order_state, count(*) AS n
+        FROM orders GROUP BY 1, 2""",
+)
+def labelled_amounts(s: Source) -> DataFrame:
+    return s.raw("orders").groupBy(
+        range_label("o_totalprice", AMOUNT_RANGES).alias("amount_range"),
+        code_label("o_orderstatus", ORDER_LABELS, "undocumented_code").alias("order_state"),
+    ).agg(F.count(F.lit(1)).alias("n"))
