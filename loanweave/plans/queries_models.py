@@ -554,7 +554,8 @@ def detection_rows(s: Source) -> DataFrame:
             AS false_alert_rate,
         round(avg(1.0::double) FILTER (WHERE blocked), 6) AS blocked_input_recall,
         round(avg((blocked OR should_detect)::int::double) FILTER
-            (WHERE detected AND detected_severity = 'high'), 6) AS severity_precision FROM h""",
+            (WHERE detected AND detected_severity = 'high'), 6) AS severity_precision FROM h
+        HAVING count(*) > 0""",
 )
 def detection_rates(s: Source) -> DataFrame:
     return alerts.detection_rates(_detected(s)).drop("monitoring_run")
