@@ -468,7 +468,7 @@ def incidents(s: Source) -> DataFrame:
     """SELECT a AS n_signals, b AS n_alert_groups, c AS n_incidents, round(a::double / b, 6)
         AS alert_compression_ratio, round(a::double / nullif(c, 0), 6)
         AS incident_compression_ratio FROM (SELECT (SELECT count(*) FROM sig) AS a,
-        (SELECT count(*) FROM grp) AS b, (SELECT count(*) FROM inc) AS c)""",
+        (SELECT count(*) FROM grp) AS b, (SELECT count(*) FROM inc) AS c) WHERE a > 0""",
 )
 def compression_ratios(s: Source) -> DataFrame:
     sig = found(s)

@@ -214,7 +214,7 @@ class StarPortfolio(Mapping[str, DataFrame]):
             path = _written.get(key)
         if path is None:
             built = getattr(self, "build_" + name.lstrip("_"))()
-            path = f"{checkpoint_dir(self.spark)}/star-{uuid.uuid4().hex}/{name}"
+            path = f"{checkpoint_dir(self.spark)}/star-{uuid.uuid4().hex}/{name.lstrip('_')}"
             built.write.partitionBy("run_id").parquet(path)
             with _lock:
                 path = _written.setdefault(key, path)
