@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from loanweave.llm.store import ship
 from loanweave.llm.text import by_bytes
 from loanweave.llm.tokens import DROPPED, encoder
 
@@ -45,6 +46,7 @@ def pack(
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
+    ship(docs.sparkSession)
     fields = [docs.select("doc_id").schema[0]]
     fields += [StructField(c, LongType(), False) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     fields += [StructField("bucket", IntegerType(), False)]

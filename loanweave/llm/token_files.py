@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanweave.llm import huffman
-from loanweave.llm.store import new_folder, open_file, stored, write_file
+from loanweave.llm.store import new_folder, open_file, ship, stored, write_file
 from loanweave.llm.text import by_bytes
 from loanweave.llm.tokens import SPACED, encoder
 
@@ -137,7 +137,7 @@ def write(tokens: DataFrame, folder: str, lengths: np.ndarray, files: int) -> Da
     ranged = ranged.withColumn("cell", F.spark_partition_id()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_last(), "tie")
     return ranged.select("cell", "doc_id", "ids").mapInArrow(
-        run, "cell int, path string, bytes long, docs long, ids long")
+        run, "cell long, path string, bytes long, docs long, ids long")
 
 
 def _again(first, rest):
@@ -201,6 +201,7 @@ def round_trip(
     empty table writes no file and gives no rows. Only doc_id and text are read.
     """
     spark = docs.sparkSession
+    ship(spark)
     tokens = stored(tokenized(docs, tokenizer, style, end_id), "ids")
     counts = histogram(tokens)
     lengths = huffman.code_lengths(counts)
