@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanweave.llm import packing, quality, token_files
+from loanweave.llm import mixing, packing, quality, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,29 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+# Base32 of a SHA-1: 40 hex digits are 8 groups of 20 bits, 4 letters each.
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+b AS (SELECT page_id, n, x, array_to_string([
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)
+        for i in range(32)], '') AS digest FROM d),
+g AS (SELECT x, max(page_id) AS leader FROM d GROUP BY x)
+SELECT b.page_id, b.n::BIGINT AS payload_bytes, b.digest AS payload_digest,
+       CASE WHEN b.page_id = g.leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN b.page_id <> g.leader THEN g.leader END AS refers_to
+FROM b JOIN g USING (x)
+"""
