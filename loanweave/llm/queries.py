@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanweave.llm import mixing, packing, quality, token_files, warc
+from loanweave.llm import mixing, near_dup, packing, quality, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,8 @@ SELECT b.page_id, b.n::BIGINT AS payload_bytes, b.digest AS payload_digest,
        CASE WHEN b.page_id <> g.leader THEN g.leader END AS refers_to
 FROM b JOIN g USING (x)
 """
+
+
+@query
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
