@@ -101,16 +101,22 @@ def winnowed(numbers: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(views)) + WINDOW - 1 - views.argmin(axis=1))
 
 
+def band_of(words: int) -> int:
+    """Words by which an alignment may leave its diagonal: a sixth of the template, BAND at most."""
+    return max(1, min(BAND, words // 6))
+
+
 def aligned(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Most words that match in order within BAND of the diagonal (text place - template place),
+    """Most words that match in order within a band of the diagonal (text place - template place),
     and the first and one past the last matched place in the text."""
     m = len(template)
-    width = 2 * BAND + 1
+    band = band_of(m)
+    width = 2 * band + 1
     score = np.zeros(width, np.int64)
     begin = np.full(width, -1, np.int64)
     end = np.full(width, -1, np.int64)
     for i in range(m):
-        place = i + diagonal + np.arange(-BAND, BAND + 1)
+        place = i + diagonal + np.arange(-band, band + 1)
         inside = (place >= 0) & (place < len(text))
         hit = inside & (text[np.clip(place, 0, max(len(text) - 1, 0))] == template[i])
         # Skipping a template word moves one cell up the band (text place stays).
@@ -160,7 +166,7 @@ class Index:
         for template, diagonals in hits.items():
             last = None
             for d in sorted(diagonals):
-                if last is None or d > last + BAND:
+                if last is None or d > last + band_of(len(self.numbers[template])):
                     last = d
                     out.append((template, d))
         return out

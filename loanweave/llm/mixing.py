@@ -155,7 +155,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
             taken[left[off.argmin()]] = True
     used = np.flatnonzero(taken)
     if not len(used):
-        return pd.DataFrame({"source": [], "_key": [], "_tie": [], "skipped": []})
+        return pd.DataFrame({"source": [], "_key": [], "_tie": [], "skipped": []}, dtype=object)
     last = used[-1]
     ties = rows["_tie"].to_numpy()
     return pd.DataFrame({
