@@ -17,31 +17,29 @@ def asof_join(
     probe_time: str,
     event_time: str,
     values: Sequence[str],
-    rows_per_cell: int | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """Each probe with the values of the latest event of its key at or before its time.
 
-    Probes without such an event get NULLs. Events must be unique per (key, time);
-    aggregate them first if they are not.
+    Probes without such an event, or without a time, get NULLs. Events must be unique per
+    (key, time); aggregate them first if they are not.
     """
     by = list(by)
     payload = F.struct(*[F.col(v).alias(v) for v in values])
-    # Events sort before probes of the same time; probes of one time are spread by a hash,
-    # so that many equal probes can still be cut into several cells.
-    spread = F.pmod(F.xxhash64(*probes.columns), F.lit(1000)).cast("double") / 1000
+    # Events sort before probes of the same time.
     left = probes.select(
         *by,
         F.col(probe_time).alias("_at"),
-        (F.lit(1.0) + spread).alias("_side"),
+        F.lit(1).alias("_side"),
         F.struct(*probes.columns).alias("_probe"),
     )
     right = events.filter(F.col(event_time).isNotNull()).select(
-        *by, F.col(event_time).alias("_at"), F.lit(0.0).alias("_side"), payload.alias("_event")
+        *by, F.col(event_time).alias("_at"), F.lit(0).alias("_side"), payload.alias("_event")
     )
     both = left.unionByName(right, allowMissingColumns=True)
     joined = scan(
-        both, by, "_at", Scan(lasts={"_hit": "_event"}), tie="_side", rows_per_cell=rows_per_cell
+        both, by, "_at", Scan(lasts={"_hit": "_event"}), tie="_side", cells=cells
     )
     return joined.filter(F.col("_probe").isNotNull()).select(
-        "_probe.*", *[F.col("_hit")[v].alias(v) for v in values]
+        "_probe.*", *[F.when(F.col("_at").isNotNull(), F.col("_hit")[v]).alias(v) for v in values]
     )

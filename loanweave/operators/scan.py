@@ -1,116 +1,25 @@
 """Ordered scans (running totals, last value, next value) that split hot groups.
 
-A plain window puts a whole group on one task. Here the order axis is cut into
-cells at quantiles of the data, every cell is scanned on its own, and what must
-be carried from earlier cells is computed on one summary row per cell. A group
-that holds most of the rows is thereby spread over many tasks. A single order
-value that holds many rows is cut again on the tie-break column.
+A plain window puts a whole group on one task. Here rows are range-partitioned along
+(group, order), every part is scanned on its own, and what must be carried from
+earlier parts is computed on one summary row per group and part. A group that holds
+most of the rows is thereby spread over many tasks, and so is a single order value:
+rows that tie are spread by the tie-break column and a hash of the row. Spark chooses
+the ranges from the data and merges small ones, so there is one algorithm for all
+sizes. NULL order values come last in both directions, NaN just before them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DateType,
-    DecimalType,
-    LongType,
-    NumericType,
-    TimestampNTZType,
-    TimestampType,
-)
+from pyspark.sql.types import DoubleType, FloatType, MapType
 
-ROWS_PER_CELL_KEY = "spark.loanweave.rowsPerCell"
-DEFAULT_ROWS_PER_CELL = 1_000_000
-MAX_CELLS = 2000
-EXACT_DOUBLE = float(2**53)
-
-
-def _as_double(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"order column {name!r} must be a number, a date or a timestamp")
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Cut points of the order axis, taken from the data; at most MAX_CELLS of them."""
-
-    splits: tuple[float, ...] = ()
-    heavy: tuple[float, ...] = ()
-    tie_splits: tuple[float, ...] = ()
-
-    @property
-    def single(self) -> bool:
-        return not self.splits
-
-
-def plan_cells(
-    df: DataFrame, value: str, tie: str | None = None, rows_per_cell: int | None = None
-) -> Cells:
-    """One light pass: row count and quantile sketch, a bounded result on the driver."""
-    spark = df.sparkSession
-    per_cell = rows_per_cell or int(
-        spark.conf.get(ROWS_PER_CELL_KEY, str(DEFAULT_ROWS_PER_CELL))
-    )
-    grid = [i / MAX_CELLS for i in range(1, MAX_CELLS)]
-    v = _as_double(df, value)
-    sketches = [
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.abs(v)).alias("largest"),
-        F.percentile_approx(v, grid, 10 * MAX_CELLS).alias("q"),
-    ]
-    if tie is not None:
-        sketches.append(F.percentile_approx(_as_double(df, tie), grid, 10 * MAX_CELLS).alias("t"))
-    found = df.agg(*sketches).first()
-    wanted = min(MAX_CELLS, math.ceil((found["n"] or 0) / per_cell))
-    if wanted <= 1 or not found["q"]:
-        return Cells()
-    step = MAX_CELLS / wanted
-    pick = [min(int(i * step), MAX_CELLS - 2) for i in range(1, wanted)]
-    points = [found["q"][i] for i in pick]
-    kind = df.schema[value].dataType
-    exact = not isinstance(kind, (LongType, DecimalType)) or (found["largest"] or 0) < EXACT_DOUBLE
-    heavy: tuple[float, ...] = ()
-    if tie is not None and exact and not isinstance(kind, DecimalType):
-        heavy = tuple(sorted({a for a, b in zip(points, points[1:]) if a == b}))
-    splits = sorted(set(points) | {math.nextafter(h, math.inf) for h in heavy})
-    tie_splits = sorted({found["t"][i] for i in pick}) if heavy else []
-    return Cells(tuple(splits), heavy, tuple(tie_splits))
-
-
-def _bucket(df: DataFrame, source: str, target: str, points: Sequence[float]) -> DataFrame:
-    splits = [-math.inf, *points, math.inf]
-    return (
-        Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep")
-        .transform(df)
-        .withColumn(target, F.col(target).cast("int"))
-    )
-
-
-def assign_cells(df: DataFrame, cells: Cells, value: str, tie: str | None) -> DataFrame:
-    """Adds the cell coordinates _cell and _subcell."""
-    if cells.single:
-        return df
-    out = _bucket(df.withColumn("_x", _as_double(df, value)), "_x", "_cell", cells.splits)
-    if cells.tie_splits and tie is not None:
-        out = _bucket(out.withColumn("_t", _as_double(df, tie)), "_t", "_subcell", cells.tie_splits)
-        is_heavy = F.col("_x").isin(*cells.heavy)
-        out = out.withColumn("_subcell", F.when(is_heavy, F.col("_subcell")).otherwise(0)).drop("_t")
-    else:
-        out = out.withColumn("_subcell", F.lit(0))
-    return out.drop("_x")
+from loanweave.session import settle
 
 
 @dataclass
@@ -129,10 +38,23 @@ class Scan:
     totals: Mapping[str, str] = field(default_factory=dict)
 
 
-def _order(value: str, tie: str | None, descending: bool) -> list[Column]:
-    names = [value] + ([tie] if tie else [])
-    first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    return [first] + [F.col(n).asc_nulls_last() for n in names[1:]]
+def _order(df: DataFrame, value: str, tie: str | None, descending: bool) -> list[Column]:
+    v = F.col(value)
+    order = [v.desc_nulls_last() if descending else v.asc_nulls_last()]
+    if isinstance(df.schema[value].dataType, (DoubleType, FloatType)):
+        order.insert(0, F.when(v.isNull(), 2).when(F.isnan(v), 1).otherwise(0).asc())
+    if tie:
+        order.append(F.col(tie).asc_nulls_last())
+    return [*order, F.col("_spread").asc()]
+
+
+def place(
+    df: DataFrame, group: Sequence[str], order: list[Column], cells: int | None = None
+) -> DataFrame:
+    """Adds `_cell`: the parts of each group, numbered along the order."""
+    by = [*[F.col(g).asc_nulls_last() for g in group], *order]
+    ranged = df.repartitionByRange(*by) if cells is None else df.repartitionByRange(cells, *by)
+    return ranged.withColumn("_cell", F.spark_partition_id())
 
 
 def scan(
@@ -142,66 +64,47 @@ def scan(
     spec: Scan,
     tie: str | None = None,
     descending: bool = False,
-    rows_per_cell: int | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
-    """Scan rows in the order (value, tie) inside each group; ties in `value` ascend by `tie`."""
+    """Scan rows in the order (value, tie) inside each group; ties in `value` ascend by `tie`.
+
+    `cells` sets the number of ranges; by default Spark decides.
+    """
     group = list(group)
-    cells = plan_cells(df, value, tie, rows_per_cell)
-    order = _order(value, tie, descending)
-    placed = assign_cells(df, cells, value, tie)
-    keys = group if cells.single else group + ["_cell", "_subcell"]
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    run = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = part.orderBy(*order)
-    out = placed
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    spread = df.withColumn("_spread", F.xxhash64(*plain))
+    order = _order(df, value, tie, descending)
+    placed = place(spread, group, order, cells)
+    keys = [*group, "_cell"]
+    step = Window.partitionBy(*keys).orderBy(*order)
+    run = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumn("_rn", F.row_number().over(step))
     for name, c in spec.sums.items():
         out = out.withColumn(name, F.sum(c).over(run))
     for name, c in spec.lasts.items():
         out = out.withColumn(name, F.last(c, ignorenulls=True).over(run))
     for name, c in spec.leads.items():
         out = out.withColumn(name, F.lead(c).over(step))
-    if cells.single:
-        whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-        for name, c in spec.totals.items():
-            out = out.withColumn(name, F.sum(c).over(whole))
-        return out
-    return _carry(placed, out, group, spec, [value] + ([tie] if tie else []), descending)
+    if spec.leads:
+        out = out.withColumn("_end", F.lead(F.lit(1)).over(step).isNull())
+    # Stored once: the summary and the rows are read from there.
+    return _carry(settle(out), group, spec).drop("_cell", "_spread", "_rn", "_end")
 
 
-def _carry(
-    placed: DataFrame,
-    scanned: DataFrame,
-    group: list[str],
-    spec: Scan,
-    order_names: list[str],
-    descending: bool,
-) -> DataFrame:
-    keys = group + ["_cell", "_subcell"]
-    position = F.struct(*order_names)
+def _carry(scanned: DataFrame, group: list[str], spec: Scan) -> DataFrame:
+    keys = [*group, "_cell"]
     aggregates = [F.sum(c).alias(f"_s_{n}") for n, c in spec.sums.items()]
-    if spec.lasts or spec.leads:
-        if descending:
-            raise ValueError("last and next values are defined for ascending scans")
-        aggregates += [
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_l_{n}")
-            for n, c in spec.lasts.items()
-        ]
-        aggregates += [
-            F.min_by(F.col(c), position).alias(f"_n_{n}") for n, c in spec.leads.items()
-        ]
+    aggregates += [F.max_by(n, "_rn").alias(f"_l_{n}") for n in spec.lasts]
+    aggregates += [F.min_by(c, "_rn").alias(f"_n_{n}") for n, c in spec.leads.items()]
     aggregates += [F.sum(c).alias(f"_t_{n}") for n, c in spec.totals.items()]
-    summary = placed.groupBy(*keys).agg(*aggregates)
-    cell_order = [
-        F.col("_cell").desc() if descending else F.col("_cell").asc(),
-        F.col("_subcell").asc(),
-    ]
+    summary = scanned.groupBy(*keys).agg(*aggregates)
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    before = w.orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         *[F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in spec.sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in spec.lasts],
-        *[F.lead(f"_n_{n}").over(w.orderBy(*cell_order)).alias(f"_c_{n}") for n in spec.leads],
+        *[F.lead(f"_n_{n}").over(w.orderBy("_cell")).alias(f"_c_{n}") for n in spec.leads],
         *[F.sum(f"_t_{n}").over(w).alias(f"_c_{n}") for n in spec.totals],
     )
     condition = reduce(
@@ -210,17 +113,18 @@ def _carry(
     )
     joined = scanned.join(carried, condition, "left")
     for n in spec.sums:
-        # The typed zero keeps decimals and integers as they are.
-        zero = F.col(n) - F.col(n)
-        joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"_c_{n}"), zero))
-    for n in [*spec.lasts, *spec.leads]:
+        own, earlier = F.col(n), F.col(f"_c_{n}")
+        joined = joined.withColumn(n, F.coalesce(own + earlier, own, earlier))
+    for n in spec.lasts:
         joined = joined.withColumn(n, F.coalesce(F.col(n), F.col(f"_c_{n}")))
+    for n in spec.leads:
+        joined = joined.withColumn(n, F.when(F.col("_end"), F.col(f"_c_{n}")).otherwise(F.col(n)))
     for n in spec.totals:
         joined = joined.withColumn(n, F.col(f"_c_{n}"))
     drop = [f"_k{i}" for i in range(len(keys))] + [
         f"_c_{n}" for n in (*spec.sums, *spec.lasts, *spec.leads, *spec.totals)
     ]
-    return joined.drop(*drop, "_cell", "_subcell")
+    return joined.drop(*drop)
 
 
 def positions(
@@ -231,13 +135,13 @@ def positions(
     name: str = "position",
     total: str = "group_size",
     descending: bool = False,
-    rows_per_cell: int | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """1-based row position and group size in the order (value, tie)."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
     return scan(
         one, group, value, Scan(sums={name: "_one"}, totals={total: "_one"}), tie, descending,
-        rows_per_cell,
+        cells,
     ).drop("_one")
 
 
@@ -264,11 +168,11 @@ def value_counts(
 
 
 def average_ranks(
-    df: DataFrame, group: Sequence[str], value: str, rank: str, rows_per_cell: int | None = None
+    df: DataFrame, group: Sequence[str], value: str, rank: str, cells: int | None = None
 ) -> DataFrame:
     """Adds the tie-averaged rank of `value` inside each group."""
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    cum = scan(counts, group, value, Scan(sums={"_upto": "_n"}), None, False, rows_per_cell)
+    cum = scan(counts, group, value, Scan(sums={"_upto": "_n"}), None, False, cells)
     ranked = cum.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col(value).alias("_v"),
@@ -288,7 +192,7 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     weight: str | None = None,
-    rows_per_cell: int | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name in `probs`.
 
@@ -303,7 +207,7 @@ def exact_quantiles(
     )
     placed = scan(
         counts, group, value, Scan(sums={"_upto": "_n"}, totals={"_all": "_n"}),
-        rows_per_cell=rows_per_cell,
+        cells=cells,
     )
     aggregates = []
     for name, p in probs.items():

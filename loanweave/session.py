@@ -5,6 +5,8 @@ Everything here is a default: a value the cluster has already set is kept.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Mapping
 
@@ -40,14 +42,21 @@ def local_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a local one only if none is named."""
+    """The shared checkpoint folder named by the cluster.
+
+    A folder of this machine is made only if none is named and the master is local.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return named or current
-    target = named or tempfile.mkdtemp(prefix="loanweave-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="loanweave-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

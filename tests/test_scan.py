@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +16,7 @@ from loanweave.operators.scan import (
     decile,
     exact_quantiles,
     ntile,
-    plan_cells,
+    place,
     positions,
     scan,
 )
@@ -32,11 +34,11 @@ def rows():
     })
 
 
-@pytest.mark.parametrize("per_cell", [50, 10**6])
+@pytest.mark.parametrize("cells", [40, 1, None])
 @pytest.mark.parametrize("descending", [False, True])
-def test_positions(spark, rows, per_cell, descending):
+def test_positions(spark, rows, cells, descending):
     df = spark.createDataFrame(rows).repartition(7)
-    got = positions(df, ["g"], "v", "id", descending=descending, rows_per_cell=per_cell)
+    got = positions(df, ["g"], "v", "id", descending=descending, cells=cells)
     got = got.toPandas().sort_values("id")
     want = rows.sort_values(["v", "id"], ascending=[not descending, True])
     want = want.assign(position=want.groupby("g").cumcount() + 1).sort_values("id")
@@ -44,23 +46,45 @@ def test_positions(spark, rows, per_cell, descending):
     assert (got.group_size.values == rows.groupby("g").id.transform("size").values).all()
 
 
-def test_heavy_value_is_cut(spark, rows):
-    cells = plan_cells(spark.createDataFrame(rows), "v", "id", 50)
-    assert cells.heavy == (0.5,) and len(cells.tie_splits) > 3
-
-
 def test_no_cell_is_large(spark, rows):
-    from loanweave.operators.scan import assign_cells
+    df = spark.createDataFrame(rows.assign(v=Decimal("0.00"))).withColumn("_spread", F.xxhash64("id"))
+    placed = place(df, ["g"], [F.col("v").asc(), F.col("_spread").asc()], 20)
+    assert placed.groupBy("_cell").count().agg(F.max("count")).first()[0] <= 250
 
-    df = spark.createDataFrame(rows)
-    placed = assign_cells(df, plan_cells(df, "v", "id", 100), "v", "id")
-    worst = placed.groupBy("_cell", "_subcell").count().agg(F.max("count")).first()[0]
-    assert worst <= 250
+
+@pytest.mark.parametrize("cells", [4, 1, None])
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_and_nan_come_last(spark, cells, descending):
+    data = [(i, float(i % 6)) for i in range(12)] + [(12, None), (13, float("nan")), (14, None), (15, float("nan"))]
+    df = spark.createDataFrame(data, "id int, v double")
+    got = {r.id: r.position for r in positions(df, [], "v", "id", descending=descending, cells=cells).collect()}
+    assert sorted(range(12, 16), key=got.get) == [13, 15, 12, 14] and {got[i] for i in range(12, 16)} == {13, 14, 15, 16}
+    first = sorted(range(12), key=lambda i: (-(i % 6) if descending else i % 6, i))
+    assert [got[i] for i in first] == list(range(1, 13))
+
+
+@pytest.mark.parametrize("cells", [5, 1])
+def test_null_probe_time_finds_nothing(spark, cells):
+    probes = spark.createDataFrame([("a", None, 1), ("a", 7, 2), ("a", 1, 3)], "k string, at int, n int")
+    events = spark.createDataFrame([("a", 2, 10), ("a", 5, 20)], "k string, t int, x int")
+    got = {r.n: r.x for r in asof_join(probes, events, ["k"], "at", "t", ["x"], cells=cells).collect()}
+    assert got == {1: None, 2: 20, 3: None}
+
+
+@pytest.mark.parametrize("cells", [6, 1])
+def test_sums_and_leads_of_nulls(spark, cells):
+    data = [(i, None if i < 5 or i % 3 == 0 else i) for i in range(20)]
+    df = spark.createDataFrame(data, "t int, w int")
+    rows = scan(df, [], "t", Scan(sums={"cum": "w"}, lasts={"last": "w"}, leads={"nxt": "w"}), cells=cells).orderBy("t").collect()
+    seen = [w for _, w in data]
+    assert [r.nxt for r in rows] == seen[1:] + [None]
+    assert [r["cum"] for r in rows] == [sum(w for w in seen[: i + 1] if w) or None for i in range(20)]
+    assert [r["last"] for r in rows] == [next((w for w in reversed(seen[: i + 1]) if w), None) for i in range(20)]
 
 
 def test_running_sum_and_next_value(spark, rows):
     df = spark.createDataFrame(rows)
-    got = scan(df, ["g"], "id", Scan(sums={"cum": "w"}, leads={"nxt": "w"}), rows_per_cell=60)
+    got = scan(df, ["g"], "id", Scan(sums={"cum": "w"}, leads={"nxt": "w"}), cells=33)
     got = got.toPandas().sort_values("id")
     want = rows.sort_values("id")
     assert (got.cum.values == want.groupby("g").w.cumsum().values).all()
@@ -76,13 +100,13 @@ def test_average_ranks(spark, rows):
 
 def test_exact_quantiles(spark, rows):
     got = exact_quantiles(spark.createDataFrame(rows), ["g"], "v", {"a": 0.1, "b": 0.73},
-                          rows_per_cell=40).toPandas().set_index("g")
+                          cells=40).toPandas().set_index("g")
     for g, part in rows.groupby("g"):
         assert np.allclose(got.loc[g, ["a", "b"]].astype(float), part.v.quantile([0.1, 0.73]))
 
 
-@pytest.mark.parametrize("per_cell", [25, 10**6])
-def test_asof_is_inclusive_and_splits(spark, per_cell):
+@pytest.mark.parametrize("cells", [25, 1, None])
+def test_asof_is_inclusive_and_splits(spark, cells):
     rng = np.random.default_rng(1)
     events = pd.DataFrame({"k": rng.choice(list("ab"), 300, p=[0.9, 0.1]),
                            "t": rng.integers(0, 400, 300), "x": range(300)})
@@ -90,7 +114,7 @@ def test_asof_is_inclusive_and_splits(spark, per_cell):
     probes = pd.DataFrame({"k": rng.choice(list("abc"), 400), "at": rng.integers(0, 400, 400),
                            "n": range(400)})
     got = asof_join(spark.createDataFrame(probes), spark.createDataFrame(events), ["k"], "at",
-                    "t", ["x"], rows_per_cell=per_cell).toPandas().sort_values("n")
+                    "t", ["x"], cells=cells).toPandas().sort_values("n")
     want = pd.merge_asof(probes.sort_values("at"), events.sort_values("t"), left_on="at",
                          right_on="t", by="k").sort_values("n")
     assert len(got) == 400
