@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from loanweave.functions.buckets import TIERS, sample_tier
 from loanweave.functions.numeric import clipped_probability, logit, row_sum
-from loanweave.operators.replicates import poisson, uniform, with_replicates
+from loanweave.operators.replicates import uniform, with_replicates
 from loanweave.operators.scan import Scan, decile, exact_quantiles, positions, scan
+from loanweave.session import settle
 
 
 def _div(n: Column, d: Column) -> Column:
@@ -404,20 +405,46 @@ def group_gaps(metrics: DataFrame, names: Sequence[str] = GAP_METRICS) -> DataFr
 # --- uncertainty -----------------------------------------------------------------------
 
 
+def _numbered(counts: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
+    """Each score with `below`, the rows of smaller scores in its population: row k of a
+    population (from 1) belongs to the score with below < k <= below + n."""
+    sized = counts.select(*by, "p", size.alias("n")).where("n > 0")
+    placed = scan(sized, by, "p", Scan(sums={"upto": "n"}, totals={"all": "n"}))
+    return placed.withColumn("below", F.col("upto") - F.col("n"))
+
+
+def resampled(counts: DataFrame, by: Sequence[str], column: str, replicates: int, seed: int
+              ) -> DataFrame:
+    """by, replicate, p and `column`: as many draws with replacement as the class has rows.
+
+    Draw j of a replicate takes row floor(u * all) + 1, u a hash of (population, replicate, j),
+    so class sizes are kept exactly. Draws are counted per row before they meet the scores.
+    """
+    c = F.col
+    rows = _numbered(counts, by, c(column)).withColumn(
+        "k", F.explode(F.sequence(c("below") + 1, c("upto"))))
+    u = uniform(*[c(b) for b in by], c("replicate"), c("k"), column, seed)
+    draws = with_replicates(rows.select(*by, "k", "all"), replicates).select(
+        *by, "replicate", (F.floor(u * c("all")) + 1).alias("k"))
+    draws = draws.groupBy(*by, "k", "replicate").agg(F.count(F.lit(1)).alias("m"))
+    return draws.join(rows.select(*by, "k", "p"), [*by, "k"]).groupBy(*by, "replicate", "p").agg(
+        F.sum("m").alias(column))
+
+
 def bootstrap(df: DataFrame, replicates: int = 1000, by: Sequence[str] = (), seed: int = 11,
               percentiles: Mapping[str, float] | None = None) -> DataFrame:
     """Percentile bands of AUC, AP, KS and Brier under resampling within each class.
 
-    Works on score counts: a resampled count is a Poisson draw around the observed one, so
-    the cost is distinct scores x replicates, whatever the number of rows.
+    Every replicate has the class sizes of the data, so the prevalence has no spread.
     """
     wanted = percentiles or {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975}
     c = F.col
-    copies = with_replicates(score_counts(df, by), replicates)
-    ident = [*[c(b) for b in by], c("replicate"), c("p")]
-    drawn = copies.withColumn("pos", poisson(c("pos"), *ident, "pos", seed)).withColumn(
-        "neg", poisson(c("neg"), *ident, "neg", seed)
-    )
+    counts = settle(score_counts(df, by))
+    zero = F.lit(0).cast("bigint")
+    drawn = resampled(counts, by, "pos", replicates, seed).join(
+        resampled(counts, by, "neg", replicates, seed), [*by, "replicate", "p"], "full").select(
+        *by, "replicate", "p", F.coalesce("pos", zero).alias("pos"), F.coalesce("neg", zero).alias("neg"))
+    drawn = settle(drawn)
     keys = [*by, "replicate"]
     rank = discrimination_of_counts(drawn, keys)
     n = F.sum(c("pos") + c("neg"))
@@ -439,20 +466,33 @@ def bootstrap(df: DataFrame, replicates: int = 1000, by: Sequence[str] = (), see
 def permutation_null(df: DataFrame, permutations: int = 999, seed: int = 13) -> DataFrame:
     """AUC of shuffled labels against the real one.
 
-    Shuffled labels spread the positives over the rows at the overall rate; on score counts
-    that is one draw per distinct score and permutation.
+    A permutation gives the labels of the positives to the rows with the smallest hashes, so
+    each has exactly as many positives as the data. Only rows whose hash is close to the border
+    (within eight standard deviations of the share of positives) are ordered; the others are
+    counted per score where they are.
     Returns p value (k+1)/(n+1), null mean and spread, z, and distinct null values.
     """
     c = F.col
-    counts = score_counts(df)
+    counts = settle(score_counts(df))
     real = discrimination_of_counts(counts).select(c("roc_auc").alias("real_auc"))
-    size = c("pos") + c("neg")
-    rate = counts.agg((F.sum("pos") / F.sum(size)).alias("rate"))
-    copies = with_replicates(_join(counts, rate, []), permutations)
-    pos = poisson(size * c("rate"), c("replicate"), c("p"), seed)
-    drawn = copies.withColumn("_pos", F.least(pos, size)).withColumn(
-        "neg", size - c("_pos")
-    ).withColumn("pos", c("_pos"))
+    total = counts.agg(F.sum("pos").alias("pos"), F.sum(c("pos") + c("neg")).alias("n")).first()
+    positives, n = total.pos or 0, total.n or 0
+    rate = positives / n if n else 0.0
+    margin = 8 * (rate * (1 - rate) / n) ** 0.5 if n else 0.0
+    rows = counts.select("p", F.explode(F.sequence(F.lit(1).cast("bigint"), c("pos") + c("neg"))).alias("i"))
+    hashed = with_replicates(rows, permutations).withColumn("u", uniform(c("replicate"), c("p"), c("i"), seed))
+    sure = hashed.groupBy("replicate", "p").agg(
+        F.count_if(c("u") < rate - margin).alias("sure"), F.count(F.lit(1)).alias("n"))
+    border = hashed.where((c("u") >= rate - margin) & (c("u") <= rate + margin))
+    placed = border.withColumn("place", F.row_number().over(
+        Window.partitionBy("replicate").orderBy("u", "p", "i")))
+    sure = settle(sure)
+    missing = sure.groupBy("replicate").agg((F.lit(positives) - F.sum("sure")).alias("missing"))
+    more = placed.join(missing, "replicate").where("place <= missing").groupBy("replicate", "p").agg(
+        F.count(F.lit(1)).alias("more"))
+    chosen = c("sure") + F.coalesce("more", F.lit(0))
+    drawn = sure.join(more, ["replicate", "p"], "left").select(
+        "replicate", "p", chosen.alias("pos"), (c("n") - chosen).alias("neg"))
     null = discrimination_of_counts(drawn, ["replicate"]).select("replicate", "roc_auc")
     joined = _join(null, real, [])
     beaten = F.count_if(c("roc_auc") >= c("real_auc"))

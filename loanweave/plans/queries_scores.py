@@ -262,12 +262,12 @@ def threshold_stability(s: Source) -> DataFrame:
 
 @query("bootstrap_bands", "E14")
 def bootstrap_bands(s: Source) -> DataFrame:
-    return ev.bootstrap(scores(s), replicates=200)
+    return ev.bootstrap(scores(s))
 
 
 @query("permutation_null", "E23")
 def permutation_null(s: Source) -> DataFrame:
-    return ev.permutation_null(scores(s), permutations=199)
+    return ev.permutation_null(scores(s))
 
 
 def _group_sql(name: str) -> str:

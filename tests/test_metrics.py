@@ -14,15 +14,17 @@ from loanweave.operators import evaluation as ev
 from loanweave.operators import features as ft
 from loanweave.operators import models as m
 from loanweave.operators.replicates import poisson, uniform
-from loanweave.operators.scan import ROWS_PER_CELL_KEY
 
 
 @pytest.fixture
 def small_cells(spark):
     """Forces every scan to be cut into many cells."""
-    spark.conf.set(ROWS_PER_CELL_KEY, "40")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset(ROWS_PER_CELL_KEY)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def brute(y, p):
@@ -78,6 +80,8 @@ def test_bootstrap_band_covers_estimate(spark):
     auc = brute(y, p)[0]
     assert bands["roc_auc"].p2_5 < auc < bands["roc_auc"].p97_5
     assert 0.005 < bands["roc_auc"]["std"] < 0.05
+    # Class sizes are kept, so the prevalence has no spread.
+    assert bands["prevalence"].p2_5 == bands["prevalence"].p97_5 == pytest.approx(y.mean())
 
 
 def test_permutation_null_is_centred(spark):
@@ -86,6 +90,10 @@ def test_permutation_null_is_centred(spark):
     y = (rng.random(500) < p).astype(int)
     r = ev.permutation_null(spark.createDataFrame(pd.DataFrame({"y": y, "p": p})), 80).first()
     assert abs(r.null_mean - 0.5) < 0.01 and r.p_value == pytest.approx(1 / 81)
+    # Spread of the rank-sum statistic under shuffled labels.
+    pos, n = int(y.sum()), len(y)
+    want = np.sqrt((n + 1) / (12 * pos * (n - pos)))
+    assert 0.75 * want < r.null_std < 1.3 * want
 
 
 def test_random_draws(spark):
