@@ -344,8 +344,8 @@ def _fitted_signs(train: DataFrame, features: Sequence[str], source: str, runs:
 
 
 def coefficient_stability(
-    train: DataFrame, features: Sequence[str], replicates: int = 5, k: int = 3,
-    strengths: Sequence[float] = (0.01, 0.1, 1.0, 10.0), flip_limit: float = 0.1,
+    train: DataFrame, features: Sequence[str], replicates: int = 200, k: int = 5,
+    strengths: Sequence[float] = (0.01, 0.1, 1.0, 10.0), flip_limit: float = 0.05,
     vif_limit: float = 10.0, small: tuple[float, float] = (0.95, 1.05),
 ) -> DataFrame:
     """Sign flips over bootstrap weights, folds and regularisation, and a class per feature."""

@@ -158,16 +158,18 @@ def batch_numbers(s: Source) -> DataFrame:
     "B18",
     f"""WITH a AS (SELECT id, y, row_number() OVER (ORDER BY id) AS k FROM ux),
         b AS (SELECT y AS v, row_number() OVER (ORDER BY {_HASH.format(seed=4)}, id) AS k FROM ux)
-        SELECT id, y, v::double AS control_shuffled, id::double AS control_id
+        SELECT id, y, v::double AS control_shuffled, id::double AS control_id,
+            y::double AS control_leak_rounded
         FROM a JOIN b ON a.k = b.k""",
 )
 def negative_controls(s: Source) -> DataFrame:
+    # The leak is the target with a little noise, so it rounds to the target.
     return ft.negative_controls(accounts(s).select("id", "y"), "id", "y").select(
-        "id", "y", "control_shuffled", "control_id")
+        "id", "y", "control_shuffled", "control_id",
+        (F.round("control_leak") + F.lit(0.0)).alias("control_leak_rounded"))
 
 
-_PAIR_NAMES = ("avg_bill_amount", "total_bill_amount", "bill_variability", "utilization_ratio",
-               "total_payment_amount")
+_PAIR_NAMES = ft.FEATURES
 
 
 @query(
@@ -248,7 +250,7 @@ def reason_codes(s: Source) -> DataFrame:
 def permutation_importance(s: Source) -> DataFrame:
     train, validation, _ = parts(s)
     return m.permutation_importance(m.fit(train, MODEL_FEATURES), validation,
-                                    MODEL_FEATURES[:3], 2)
+                                    MODEL_FEATURES, 5)
 
 
 @query("partial_dependence", "B15")
@@ -277,13 +279,12 @@ def stress_suite(s: Source) -> DataFrame:
 
 @query("split_stability", "E15")
 def split_stability(s: Source) -> DataFrame:
-    return m.split_stability(frame(s), MODEL_FEATURES, (1, 2, 3))
+    return m.split_stability(frame(s), MODEL_FEATURES, (1, 2, 3, 4, 5))
 
 
 @query("coefficient_stability", "E22")
 def coefficient_stability(s: Source) -> DataFrame:
-    return m.coefficient_stability(parts(s)[0], MODEL_FEATURES, replicates=2, k=2,
-                                   strengths=(0.1, 10.0))
+    return m.coefficient_stability(parts(s)[0], MODEL_FEATURES, replicates=10)
 
 
 @query("retrain_null", "E24")
@@ -571,7 +572,7 @@ def _counts(s: Source) -> DataFrame:
 
 @query("chance_cutoffs", "N1 N2 N3")
 def chance_cutoffs(s: Source) -> DataFrame:
-    return calibrate(scores(s), ["p"], ["lang", "source"], 200, 100)
+    return calibrate(scores(s), ["p"], ["lang", "source"], 200, 300)
 
 
 def _psi_cutoffs(s: Source) -> DataFrame:
@@ -628,8 +629,9 @@ def sensitivity_study(s: Source) -> DataFrame:
     limits = alerts.calibrate_psi(counts, 500, 100).unionByName(
         alerts.calibrate_family_wise(counts, 500, 100))
     edited = None
-    for kind, values in (("utilisation", (0.1, 0.5)), ("payment", (0.2, 0.6)),
-                         ("delinquency", (1, 3))):
+    for kind, values in (("utilisation", (0.1, 0.3, 0.5)), ("payment", (0.2, 0.4, 0.6)),
+                         ("delinquency", (1, 2, 3)), ("missingness", (0.05, 0.15, 0.3)),
+                         ("outliers", (0.01, 0.02, 0.05)), ("noise", (0.05, 0.1, 0.2))):
         for v in values:
             one = ft.behavioural_features(ft.perturb(raw, kind, "id", v), ["id"]).withColumn(
                 "edit", F.lit(kind)).withColumn("magnitude", F.lit(float(v)))

@@ -25,11 +25,16 @@ def start(stream: DataFrame, monitor: Monitor, run: str, output: str, checkpoint
     """Starts the monitor on a stream of raw rows (without batch_sequence)."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        numbered = batch.withColumn("batch_sequence", F.lit(int(number) + 1))
-        monitor.signals(numbered, run).write.mode("overwrite").parquet(
-            f"{output.rstrip('/')}/micro_batch={int(number)}")
+        # A dozen jobs read the micro-batch; the source is read once.
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            numbered = batch.withColumn("batch_sequence", F.lit(int(number) + 1))
+            monitor.signals(numbered, run).write.mode("overwrite").parquet(
+                f"{output.rstrip('/')}/micro_batch={int(number)}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
