@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loanweave.functions.numeric import SHARE_FLOOR
 from loanweave.operators.drift import BINS
-from loanweave.operators.evaluation import discrimination_of_counts, score_counts
+from loanweave.operators.evaluation import discrimination_of_counts, score_counts, with_one_row
 from loanweave.operators.replicates import poisson, uniform, with_replicates
 from loanweave.operators.scan import Scan, exact_quantiles, scan
 
@@ -65,8 +65,7 @@ def _cutoffs(null: DataFrame, metric: str, value: str, batch_size: int,
              keys: Sequence[str] = ()) -> DataFrame:
     q = exact_quantiles(null, keys, value, {"review_cutoff": REVIEW, "material_cutoff": MATERIAL})
     n = null.groupBy(*keys).agg(F.count(value).alias("n_resamples"))
-    joined = q.join(n, list(keys)) if keys else q.withColumn("_k", F.lit(1)).join(
-        n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    joined = q.join(n, list(keys)) if keys else with_one_row(q, n)
     return joined.select(
         *keys, F.lit(metric).alias("metric"), "review_cutoff", "material_cutoff", "n_resamples",
         F.lit(batch_size).alias("batch_size"), F.lit(MIN_SAMPLE).alias("min_sample"),
@@ -110,22 +109,19 @@ def calibrate_scores(reference: DataFrame, batch_size: int, replicates: int = 10
         rank = discrimination_of_counts(df, keys).select(*keys, "roc_auc", "pr_auc")
         if keys:
             return stats.join(rank, keys)
-        return stats.withColumn("_k", F.lit(1)).join(rank.withColumn("_k", F.lit(1)), "_k")
+        return with_one_row(stats, rank)
 
-    whole = counts.agg(F.sum(size).alias("all")).withColumn("_k", F.lit(1))
+    whole = counts.agg(F.sum(size).alias("all"))
     scale = batch_size / c("all")
-    copies = with_replicates(
-        counts.withColumn("_k", F.lit(1)).join(whole, "_k").drop("_k"), replicates
-    )
+    copies = with_replicates(with_one_row(counts, whole), replicates)
     ident = [c("replicate"), c("p"), F.lit(seed)]
     drawn = copies.withColumn("pos", poisson(c("pos") * scale, *ident, "pos")).withColumn(
         "neg", poisson(c("neg") * scale, *ident, "neg")
     )
     names = {"score_mean_shift": "score", "event_rate_delta": "rate", "brier_delta": "brier",
              "roc_auc_delta": "roc_auc", "pr_auc_delta": "pr_auc"}
-    real = summary(counts, []).select(*[c(v).alias(f"r_{v}") for v in names.values()],
-                                      F.lit(1).alias("_k"))
-    gaps = summary(drawn, ["replicate"]).withColumn("_k", F.lit(1)).join(real, "_k").select(
+    real = summary(counts, []).select(*[c(v).alias(f"r_{v}") for v in names.values()])
+    gaps = with_one_row(summary(drawn, ["replicate"]), real).select(
         "replicate", *[F.abs(c(v) - c(f"r_{v}")).alias(n) for n, v in names.items()]
     )
     tidy = gaps.unpivot(["replicate"], list(names), "metric", "value")
@@ -368,10 +364,10 @@ def false_alert_study(reference_counts: DataFrame, cutoffs: DataFrame, batch_siz
 def _alert_rates(null: DataFrame, cutoffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     c = F.col
     single = cutoffs.filter(c("metric") == "psi").select(
-        c("review_cutoff").alias("r1"), c("material_cutoff").alias("m1"), F.lit(1).alias("_k"))
+        c("review_cutoff").alias("r1"), c("material_cutoff").alias("m1"))
     wide = cutoffs.filter(c("metric") == FAMILY_WISE).select(
-        c("review_cutoff").alias("r2"), c("material_cutoff").alias("m2"), F.lit(1).alias("_k"))
-    marked = null.withColumn("_k", F.lit(1)).join(single, "_k").join(wide, "_k")
+        c("review_cutoff").alias("r2"), c("material_cutoff").alias("m2"))
+    marked = with_one_row(with_one_row(null, single), wide)
     per_feature = marked.groupBy(*keys, c("feature").alias("scope")).agg(
         F.avg((c("psi") >= c("r1")).cast("double")).alias("review_rate"),
         F.avg((c("psi") >= c("m1")).cast("double")).alias("material_rate"),
@@ -406,11 +402,11 @@ def sensitivity_study(drifted: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """States of edited batches: (edit, magnitude, feature, psi, n) against the cutoffs."""
     c = F.col
     wide = cutoffs.filter(c("metric") == FAMILY_WISE).select(
-        "review_cutoff", "material_cutoff", "min_sample", F.lit(1).alias("_k"))
+        "review_cutoff", "material_cutoff", "min_sample")
     worst = drifted.groupBy("edit", "magnitude").agg(
         F.max("psi").alias("max_psi"), F.max_by("feature", "psi").alias("feature"),
         F.min("n").alias("n"))
-    return worst.withColumn("_k", F.lit(1)).join(wide, "_k").select(
+    return with_one_row(worst, wide).select(
         "edit", "magnitude", "feature", "max_psi",
         state(c("max_psi"), c("review_cutoff"), c("material_cutoff"), c("n"), c("min_sample"))
         .alias("status"))

@@ -29,12 +29,14 @@ def _on(keys: Sequence[str]) -> list[str]:
     return list(keys)
 
 
+def with_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of `a` with the columns of `b`, a table of one row that every task may have."""
+    return a.crossJoin(F.broadcast(b))
+
+
 def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join of per-population tables; without `by` both have one row."""
-    if by:
-        return a.join(b, _on(by))
-    one = F.lit(1).alias("_one")
-    return a.select("*", one).join(b.select("*", one), "_one").drop("_one")
+    """Join of per-population tables; without `by`, `b` has one row."""
+    return a.join(b, _on(by)) if by else with_one_row(a, b)
 
 
 def score_counts(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None
