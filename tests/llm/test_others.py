@@ -95,6 +95,26 @@ def test_license_scan(spark, docs, no_docs):
     assert license_scan.scan(frame, {}).count() == 0
 
 
+def test_license_names_need_deciding_words():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    names = lambda text: {m[0] for m in index.matches(text, 0.8)}
+    whole = license_scan.TEMPLATES
+    for name, text in whole.items():
+        assert (name, 1.0) in {(m[0], m[2]) for m in index.matches(f"before it {text} after it", 0.8)}, name
+    assert names(whole["mit"]) == {"mit"} and "mit" not in names(whole["mit"][:450])  # the grant alone
+    for name in ("bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "0bsd", "mit-0", "gpl-2.0", "gpl-3.0", "lgpl-2.0",
+                 "lgpl-2.1", "gfdl-1.2", "gfdl-1.3", "gpl-2.0-or-later-header", "gpl-3.0-only-header", "lgpl-2.1-or-later-header"):
+        assert names(whole[name]) == {name}
+    assert names("Licensed under CC BY-SA 4.0.") == {"cc-by-sa-4.0-short-line"}
+    assert names("Licensed under CC BY-NC 3.0.") == {"cc-by-nc-3.0-short-line"}
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.") == {
+        "cc-by-nc-4.0-long-line"}
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == {"lgpl-3.0-line"}
+    assert names("Released under the Foo License.") == set()
+    assert names("# SPDX-License-Identifier: GPL-2.0-or-later") == {"spdx-gpl-2.0-or-later"}
+    assert names(whole["mpl-2.0"].replace("Covered Software", "Covered  Software", 3).replace("Contributor", "Donor", 2)) == {"mpl-2.0"}
+
+
 def test_templates_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_WORDS", 10)
     assert len(list(license_scan.parts(license_scan.TEMPLATES))) > 3
