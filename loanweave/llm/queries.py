@@ -77,7 +77,7 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), least=1).select(
         "doc_id", "source", "lang", "removed_lines", "text")
 
 

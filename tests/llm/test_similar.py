@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loanweave.llm import fingerprint, line_dedup, near_dup, neighbours, text
+from loanweave.llm import fingerprint, line_dedup, near_dup, neighbours, queries, text
 from loanweave.llm.components import components
 
 
@@ -56,6 +56,18 @@ def test_line_dedup_is_exact(spark, monkeypatch, heavy):
     assert got == plain_line_dedup(rows, 0.8, 5)
 
 
+def test_short_lines_take_part(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(line_dedup, "BUCKETS", 3 << 10)
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join(rng.choices("abcdefgh", k=rng.randint(0, 7))) for _ in range(4))) for i in range(60)]
+    rows += [(100, "Les.\n\na whole line of six words"), (101, "Les.\n\na whole line of six words"), (102, "a whole line of\nnew")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.selectExpr("*", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == plain_line_dedup(rows, 0.8, 1)
+    left = {r.doc_id for r in line_dedup.keep_new_lines(docs).collect()}
+    assert 101 not in left and {100, 102} <= left  # a whole copy leaves no stub
+
+
 def test_line_dedup_edge_cases(docs, no_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BUCKETS", 3 << 10)
     done = line_dedup.dedup(docs)
