@@ -245,11 +245,27 @@ def classes(
     only if all ids of the class are null. An empty table gives no rows. Only doc_id and text
     are read.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ids, named = _classes_of_texts(docs, likeness, bands, rows)
+    smallest = named.groupBy("label").agg(F.min("k").alias("class_id"))
+    by_text = named.join(smallest, "label").select("h1", "h2", "class_id")
+    known = ids.where("words").join(by_text, ["h1", "h2"]).select("k", "class_id")
+    found = known.unionByName(ids.where("not words").select("k", F.col("k").alias("class_id")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id" if c == "k" else c)
+    return found.select(real("k"), real("class_id"))
+
+
+def _row_keys() -> tuple[list[F.Column], F.Column]:
+    """k, h1, h2 (id and digests of the text of a row), and whether the text has a word."""
     words = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    digests = [key.alias("k"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")]
+    return [key.alias("k"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")], words
+
+
+def _classes_of_texts(docs: DataFrame, likeness: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """k, h1, h2, words of each row; and h1, h2, k (the smallest of its rows), label of each
+    distinct text that has a word."""
+    ship(docs.sparkSession)
+    digests, words = _row_keys()
     # Ids and digests of all rows, and which row speaks for a text: narrow tables.
     ids = stored(docs.select(*digests, words.alias("words")), "digests")
     firsts = stored(ids.where("words").groupBy("h1", "h2").agg(F.min("k").alias("k")).select(
@@ -260,13 +276,7 @@ def classes(
     labels = joined(keys, texts, likeness)
     named = firsts.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "h1", "h2", "k", F.coalesce("label", "id").alias("label"))
-    named = stored(named, "named")
-    smallest = named.groupBy("label").agg(F.min("k").alias("class_id"))
-    by_text = named.join(smallest, "label").select("h1", "h2", "class_id")
-    known = ids.where("words").join(by_text, ["h1", "h2"]).select("k", "class_id")
-    found = known.unionByName(ids.where("not words").select("k", F.col("k").alias("class_id")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id" if c == "k" else c)
-    return found.select(real("k"), real("class_id"))
+    return ids, stored(named, "named")
 
 
 def joined(keys: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
@@ -304,12 +314,19 @@ def joined(keys: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, likeness: float = 0.8) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; columns unchanged.
+    """One row of each class, that with the smallest doc_id, then text digest; columns unchanged.
 
-    Repeated rows of the document that stays are one row; documents without a word all stay.
+    It is decided for each row by doc_id and text: repeated rows (same doc_id and text) are one
+    row, null ids come last and go like others, and of two texts under one doc_id each is judged
+    by its own class. Rows without a word all stay.
     """
     columns = docs.columns
-    found = classes(docs, likeness).where("doc_id is not null")
-    away = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "away")
-    kept = docs.join(away.withColumnRenamed("doc_id", "_away"), F.col("doc_id").cast("long") == F.col("_away"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    _, named = _classes_of_texts(docs, likeness)
+    stay = named.groupBy("label").agg(F.min(F.struct("k", "h1", "h2")).alias("first")).select(
+        F.col("first.k").alias("_k"), F.col("first.h1").alias("_h1"), F.col("first.h2").alias("_h2"))
+    (k, h1, h2), words = _row_keys()
+    names = [F.col(f"`{c}`") for c in columns]
+    rows = docs.where(words).select(*names, k.alias("_k"), h1.alias("_h1"), h2.alias("_h2"))
+    # Repeated rows become one in each task before they are dealt out, so they make no hot key.
+    kept = rows.dropDuplicates(["_k", "_h1", "_h2"]).join(stay, ["_k", "_h1", "_h2"], "left_semi")
+    return kept.select(*names).unionByName(docs.where(~words).select(*names))

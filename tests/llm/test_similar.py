@@ -128,6 +128,21 @@ def test_near_dup_edge_cases(docs, no_docs):
     assert near_dup.classes(no_docs).count() == 0
 
 
+def test_keep_first_decides_for_each_row(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(200)], k=30)) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "x"),  # repeated rows
+            (None, a, "x"), (None, d, "x"), (None, d, "x"),  # null ids: a copy, and a text of their own
+            (2, b, "x"), (3, b, "x"), (3, c, "x"),  # two texts under one id, one of them a copy
+            (4, "", "x"), (4, None, "x"), (4, " ", "x")]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(parts)
+        kept = near_dup.keep_first(frame)
+        assert kept.columns == frame.columns
+        got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+        assert got == sorted([("1", a), ("None", d), ("2", b), ("3", c), ("4", ""), ("4", "None"), ("4", " ")])
+
+
 def test_signatures_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(5)
     a = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
