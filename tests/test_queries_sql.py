@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
 from duck import compare, connect
+from paths import SF_DIR
 
 import __spark_entry__ as entry
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
+from paths import SF_DIR
 from pyspark.sql import functions as F
 
 from loanweave.operators import alerts, batch_input, marts
