@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanweave.llm import (
-    fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours, packing, quality,
-    token_files, warc,
+    centroids, fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours, packing,
+    quality, token_files, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,40 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
     size * (epochs + (inside OR coalesce(border AND e.k IS NOT NULL, false))::BIGINT) AS taken
 FROM q LEFT JOIN extra e ON border AND q.source IS NOT DISTINCT FROM e.source AND q.k = e.k
 """
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c0, c1, ... one after the other."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS m FROM (
+    SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{i} c USING (j) GROUP BY v.r, c.k)
+    GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce(s.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT a.m.k AS k, v.j, ((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM a{i} a JOIN v USING (r) GROUP BY a.m.k, v.j) s USING (k, j))""")
+    return ",".join(parts)
+
+
+SQL["op12_centroids"] = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+rows AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: floor(256 * x)::BIGINT) AS q
+    FROM e WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM rows),
+c0 AS MATERIALIZED (SELECT k - 1 AS k, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM (
+    SELECT q, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, q) AS k FROM rows) WHERE k <= 40),
+{_centroid_rounds(5).strip()},
+last AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS h FROM c5 GROUP BY k)
+SELECT rows.vec_id, a.m.k::INT AS cluster, a.m.d AS distance,
+    (sum(a.m.d) OVER (PARTITION BY a.m.k))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,
+    last.h AS centroid_sha256
+FROM a5 a JOIN rows USING (r) JOIN last ON last.k = a.m.k
+"""
