@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanweave.llm import (
-    centroids, fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours, packing,
+    centroids, collocations, fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours, packing,
     quality, token_files, warc,
 )
 
@@ -185,3 +185,35 @@ SELECT rows.vec_id, a.m.k::INT AS cluster, a.m.d AS distance,
     last.h AS centroid_sha256
 FROM a5 a JOIN rows USING (r) JOIN last ON last.k = a.m.k
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2),
+        lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS words)) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+cuts AS (SELECT c.*, l.f AS l, r.f AS r, k, 2000000 * a // (l.f + r.f) AS score
+    FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, words - n + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS n FROM c WHERE words > 2))
+    GROUP BY ALL),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

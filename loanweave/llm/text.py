@@ -43,6 +43,12 @@ def _tables(n: int) -> None:
         _inverse = np.multiply.accumulate(step)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2^64, and of its inverse."""
+    _tables(n)
+    return _powers[:n], _inverse[:n]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is an empty text."""
     if column.null_count:
@@ -57,9 +63,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word; no word crosses two texts."""
-    solid = ~SPACE[raw]
+    solid = ~space[raw]
     if not len(solid):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.empty_like(solid)
@@ -77,8 +83,14 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the number of words before each text (one more than
-    texts). Memory beyond the result is bounded by the slice, however long a text is."""
+    texts)."""
     starts, ends = word_bounds(raw, off)
+    return span_hashes(raw, starts, ends), np.searchsorted(starts, off, "left")
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, ordered and apart. Memory beyond the result is
+    bounded by the slice, however many bytes there are."""
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
@@ -90,7 +102,12 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
         out[lo:hi] = mixed((sums[e] - sums[s]) * _inverse[s] + (e - s).astype(np.uint64))
         lo = hi
-    return out, np.searchsorted(starts, off, "left")
+    return out
+
+
+def ascii_lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case; all others as they are."""
+    return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
 
 
 def run_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
