@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanweave.llm.bits import COUNTS, at_least, bit_table, counted, holds
 from loanweave.llm.store import ship, stored
 from loanweave.llm.text import (
     ascii_lower, by_bytes, mixed, powers, span_hashes, text_buffers, word_bounds,
@@ -41,7 +42,6 @@ APART = BREAKS.copy()
 APART[[9, 32]] = True
 
 BITS = 26  # the bit table has 2^26 bits, 8 MB
-FLUSH = 4 << 20  # fingerprints that a task gathers before it counts them
 PHRASES = 1 << 19  # distinct phrases that a task gathers before it hands them over
 SLICE = 8 << 20
 
@@ -88,17 +88,12 @@ class Words:
         return column.dictionary_encode()
 
 
-def _has(table: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
-    place = prints >> np.uint64(64 - bits)
-    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _candidates(words: Words, n: int, table: np.ndarray | None, bits: int) -> np.ndarray:
     """Runs of n words both of whose parts of n - 1 words may be frequent."""
     at = words.runs(n)
     if table is None or not len(at):
         return at
-    return at[_has(table, words.prints(at, n - 1), bits) & _has(table, words.prints(at + 1, n - 1), bits)]
+    return at[holds(table, words.prints(at, n - 1), bits) & holds(table, words.prints(at + 1, n - 1), bits)]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -108,38 +103,19 @@ def _rows(docs: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, lengths: list[int], least: int, table, bits: int) -> DataFrame:
     """print: fingerprints of runs of these lengths that occur at least so often."""
 
-    def count(parts: list[np.ndarray]) -> pa.RecordBatch:
-        prints, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], names=["print", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value if table is not None else None
-        parts, held = [], 0
-        for batch in by_bytes(batches, "text"):
-            words = Words(batch)
-            for n in lengths:
-                parts.append(words.prints(_candidates(words, n, known, bits), n))
-                held += len(parts[-1])
-            if held >= FLUSH:
-                yield count(parts)
-                parts, held = [], 0
-        if held:
-            yield count(parts)
-
-    counted = _rows(docs).mapInArrow(run, "print long, n long")
-    # Tasks have counted already; dealing rows out first saves a second, useless count there.
-    return counted.repartition("print").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def bit_table(prints: DataFrame, bits: int) -> np.ndarray:
-    """Bits at the leading bits of the fingerprints; 2^bits of them at most, in words of 64."""
-    place = F.shiftrightunsigned("print", 64 - bits)
-    words = prints.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - bits}) & 63 as int))")).alias("bits"))
-    rows = words.toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return table
+
+        def prints() -> Iterator[np.ndarray]:
+            for batch in by_bytes(batches, "text"):
+                words = Words(batch)
+                for n in lengths:
+                    yield words.prints(_candidates(words, n, known, bits), n)
+
+        yield from counted(prints())
+
+    return at_least(_rows(docs).mapInArrow(run, COUNTS), least)
 
 
 def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
@@ -160,7 +136,7 @@ def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
         for n in range(1, LONGEST + 1):
             at = words.runs(n)
             prints = words.prints(at, n)
-            near = _has(known, prints, bits)
+            near = holds(known, prints, bits)
             at, prints = at[near], prints[near]
             _, first, inverse, f = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
             pointer = at[first]  # the occurrence that stands for all others with its fingerprint

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanweave.llm.store import stored
+from loanweave.llm.store import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, for every node of a link (a, b)."""
+    """node, label: the smallest node of its component, for every node of a link (a, b); a
+    working table of its own (column moved: of no use) that the caller may drop."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(
@@ -28,6 +29,8 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.least("low", F.coalesce("upper", "low")).alias("label"),
             (F.least("low", F.coalesce("upper", "low")) != F.col("label")).alias("moved"))
         moved = stored(moved, "labels")
-        labels = moved.select("node", "label")
+        drop(labels)
+        labels = moved
         if not moved.where("moved").limit(1).count():
-            return labels
+            drop(both)
+            return moved

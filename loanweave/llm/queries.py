@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanweave.llm import (
-    centroids, collocations, fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours, packing,
-    quality, token_files, warc,
+    centroids, collocations, fingerprint, license_scan, line_dedup, mixing, near_dup, neighbours,
+    ngram_join, packing, quality, token_files, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +196,8 @@ SQL["op13_collocations"] = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 f AS MATERIALIZED (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM (
     SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2),
@@ -217,3 +218,26 @@ ranked AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC,
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_ngram_join"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS t FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS MATERIALIZED (SELECT a, b FROM (
+        SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.r < y.r GROUP BY x.r, y.r)
+    JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.x),
+c AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.x GROUP BY reach.r)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w JOIN c ON c.r = w.r LEFT JOIN n ON n.r = w.r
+"""

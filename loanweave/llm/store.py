@@ -75,7 +75,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     with _shuffles_end_with_their_job(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete working tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_stored_at", None) if table is not None else None
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
