@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanweave.llm.store import drop, stored
+
 FLUSH = 4 << 20  # fingerprints that a task gathers before it counts them
 COUNTS = "print long, n long"
 
@@ -43,10 +45,12 @@ def at_least(counts: DataFrame, least: int) -> DataFrame:
 
 def bit_table(prints: DataFrame, bits: int) -> np.ndarray:
     """Bits at the leading bits of the fingerprints; 2^bits of them at most, in words of 64."""
+    prints = stored(prints.select("print"), "prints")  # the shuffle behind it ends with this job
     words = prints.groupBy(F.shiftrightunsigned("print", 64 - bits + 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - bits}) & 63 as int))")).alias("bits"))
     rows = words.toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
+    drop(prints)
     table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return table
 
