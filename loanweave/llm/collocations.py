@@ -42,8 +42,7 @@ APART = BREAKS.copy()
 APART[[9, 32]] = True
 
 BITS = 26  # the bit table has 2^26 bits, 8 MB
-PHRASES = 1 << 19  # distinct phrases that a task gathers before it hands them over
-SLICE = 8 << 20
+PHRASES = 1 << 18  # distinct phrases that a task gathers before it hands them over
 
 
 class Words:
@@ -159,7 +158,7 @@ def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         parts, held = [], 0
-        for batch in by_bytes(batches, "text", SLICE):
+        for batch in by_bytes(batches, "text"):
             words = Words(batch)
             if not len(words.starts):
                 continue
