@@ -42,7 +42,7 @@ APART = BREAKS.copy()
 APART[[9, 32]] = True
 
 BITS = 26  # the bit table has 2^26 bits, 8 MB
-PHRASES = 1 << 18  # distinct phrases that a task gathers before it hands them over
+PHRASES = 1 << 20  # distinct phrases that a task gathers before it hands them over
 
 
 class Words:
@@ -157,22 +157,20 @@ def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
-        parts, held = [], 0
+        whole, parts, held = None, [], 0
         for batch in by_bytes(batches, "text"):
             words = Words(batch)
             if not len(words.starts):
                 continue
-            new = of_batch(words, known)
-            parts += new
-            held += sum(map(len, new))
-            if held >= PHRASES:
-                parts = [summed(parts)]
-                held = len(parts[0])
-                if held >= PHRASES // 2:
-                    yield from parts[0].to_batches(1 << 16)
-                    parts, held = [], 0
-        if parts:
-            yield from summed(parts).to_batches(1 << 16)
+            parts += of_batch(words, known)
+            held = sum(map(len, parts))
+            if held >= max(PHRASES // 8, len(whole or ())):
+                whole, parts = summed(parts + [whole] if whole is not None else parts), []
+                if len(whole) >= PHRASES:
+                    yield from whole.to_batches(1 << 16)
+                    whole = None
+        if parts or whole is not None:
+            yield from summed(parts + [whole] if whole is not None else parts).to_batches(1 << 16)
 
     found = _rows(docs).mapInArrow(run, "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
