@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanweave.functions.buckets import TERMINAL_STATUSES
 from loanweave.functions.money import LEDGER_TOLERANCE, MONEY
+from loanweave.operators.asof import asof_join
 
 
 def balance_components(accounts: DataFrame) -> DataFrame:
@@ -60,17 +61,14 @@ def keys_do_not_collide(customers: DataFrame) -> DataFrame:
 
 
 def terminal_stays_terminal(accounts: DataFrame) -> DataFrame:
-    """Open rows after a terminal one, by a running minimum instead of a self join."""
-    before = Window.partitionBy("run_id", "contract_id").orderBy("snapshot_date").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ended = F.min(
-        F.when(F.col("contract_status").isin(*TERMINAL_STATUSES), F.col("snapshot_date"))
-    ).over(before)
+    """Open rows after a terminal one, by the first terminal date instead of a self join."""
+    key = ["run_id", "contract_id"]
+    ends = accounts.filter(F.col("contract_status").isin(*TERMINAL_STATUSES)).groupBy(*key).agg(
+        F.min("snapshot_date").alias("terminal_date"))
     return (
-        accounts.withColumn("terminal_date", ended)
-        .filter(F.col("terminal_date").isNotNull()
-                & F.col("contract_status").isin("active", "delinquent"))
+        accounts.filter(F.col("contract_status").isin("active", "delinquent"))
+        .join(ends, key)
+        .filter(F.col("snapshot_date") > F.col("terminal_date"))
         .select("run_id", "contract_id", "terminal_date", "snapshot_date", "contract_status")
     )
 
@@ -89,17 +87,14 @@ def pre_shock_identical(stress: DataFrame) -> DataFrame:
 
 
 def prior_status_from_past(history: DataFrame) -> DataFrame:
-    """The stored prior status against the latest strictly earlier row."""
-    before = Window.partitionBy("run_id", "contract_id").orderBy("snapshot_date").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    earlier = F.max_by(F.col("contract_status"), F.col("snapshot_date")).over(before)
-    return (
-        history.withColumn("true_prior_status", earlier)
-        .filter(~F.col("prior_month_status").eqNullSafe(F.col("true_prior_status")))
-        .select("run_id", "contract_id", "snapshot_date", "prior_month_status",
-                "true_prior_status")
-    )
+    """The stored prior status against the latest strictly earlier row, by an as-of join: a row
+    is known from the day after its date."""
+    key = ["run_id", "contract_id"]
+    known = history.groupBy(*key, F.date_add("snapshot_date", 1).alias("known_from")).agg(
+        F.max("contract_status").alias("true_prior_status"))
+    probes = history.select(*key, "snapshot_date", "prior_month_status")
+    return asof_join(probes, known, key, "snapshot_date", "known_from", ["true_prior_status"]).filter(
+        ~F.col("prior_month_status").eqNullSafe(F.col("true_prior_status")))
 
 
 def row_counts_reconcile(raw: Mapping[str, DataFrame], staged: Mapping[str, DataFrame],

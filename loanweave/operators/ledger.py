@@ -1,9 +1,10 @@
 """The loan ledger: amortization, payment waterfall, balances and days past due over time.
 
-All windows here are per contract or per installment. Their size is bounded by the
-contract term and by the number of days on which something was settled, because
-payments are first summed per installment and day. Keys are (run_id, contract_id);
-every step keeps that partitioning, so the ledger is shuffled by contract only.
+Nothing here needs the rows of a contract in one task. Payments meet due components on ordered
+scans, which spread a contract that holds most of the rows. Balances are running totals over
+days: whatever happens on a day of a contract or an installment is summed first, without order,
+so a window holds at most a few rows for each day of the calendar, however many rows there are.
+Keys are (run_id, contract_id).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from loanweave.functions.buckets import TERMINAL_STATUSES, dpd_bucket
 from loanweave.functions.dates import month_sequence, month_start
 from loanweave.functions.money import LEDGER_TOLERANCE, MONEY, money
+from loanweave.operators.scan import Scan, scan
 
 CONTRACT = ["run_id", "contract_id"]
 INSTALLMENT = [*CONTRACT, "installment_id"]
@@ -87,56 +89,47 @@ def amortization_schedule(contracts: DataFrame) -> DataFrame:
 # --- waterfall -------------------------------------------------------------------------
 
 
+def money_axis(payments: DataFrame, installments: DataFrame) -> DataFrame:
+    """Payments (side 0) and due components (side 1) of each contract as stretches of money
+    (`pos`, `end`): both are laid end to end, oldest first, components by fees, interest and
+    principal inside an installment."""
+    paid = payments.select(
+        *CONTRACT, F.lit(0).alias("side"), F.col("settlement_date").alias("day"),
+        F.struct(F.col("payment_id").alias("id"), F.lit(0).alias("rank")).alias("tie"),
+        F.lit(None).cast("string").alias("part"), F.col("amount").cast(MONEY).alias("size"),
+    )
+    parts = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("rank"), F.lit(p).alias("part"),
+                 F.col(f"scheduled_{p}").cast(MONEY).alias("size"))
+        for i, p in enumerate(("fees", "interest", "principal"))
+    ]))
+    due = installments.select(*CONTRACT, "installment_id", "due_date", parts.alias("c")).select(
+        *CONTRACT, F.lit(1).alias("side"), F.col("due_date").alias("day"),
+        F.struct(F.col("installment_id").alias("id"), F.col("c.rank").alias("rank")).alias("tie"),
+        F.col("c.part").alias("part"), F.col("c.size").alias("size"),
+    )
+    laid = scan(paid.unionByName(due), [*CONTRACT, "side"], "day", Scan(sums={"end": "size"}), tie="tie")
+    end = F.col("end").cast(MONEY)
+    return laid.select(*CONTRACT, "side", F.col("tie.id").alias("id"), "part",
+                       (end - F.col("size")).cast(MONEY).alias("pos"), end.alias("end"))
+
+
 def allocate_payments(payments: DataFrame, installments: DataFrame) -> DataFrame:
     """Oldest installment first; inside it fees, then interest, then principal.
 
     Due components and payments are laid end to end on one money axis per contract. Between
     two neighbouring break points of that axis exactly one payment meets one component, so a
-    single ordered pass finds every allocation; no pairs are formed. Payments that are
-    reversed, and the reversals, must be left out by the caller (`without_reversed`).
-    Money beyond the schedule stays unallocated.
+    single ordered scan finds every allocation: no pairs are formed, and both the running sums
+    and the pass over the axis are cut into ranges that carry on where the one before ended.
+    Payments that are reversed, and the reversals, must be left out by the caller
+    (`without_reversed`). Money beyond the schedule stays unallocated.
     """
-    by_day = Window.partitionBy(*CONTRACT).orderBy("settlement_date", "payment_id")
-    paid_to = F.sum("amount").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
-    paid = payments.select(
-        *CONTRACT,
-        (paid_to - F.col("amount")).cast(MONEY).alias("pos"),
-        paid_to.cast(MONEY).alias("end"),
-        F.struct("payment_id", paid_to.cast(MONEY).alias("end")).alias("pay"),
-    )
-    parts = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("rank"),
-                    F.lit(p).alias("part"),
-                    F.col(f"scheduled_{p}").cast(MONEY).alias("size"),
-                )
-                for i, p in enumerate(("fees", "interest", "principal"))
-            ]
-        )
-    )
-    pieces = installments.select(*CONTRACT, "installment_id", "due_date", parts.alias("c"))
-    by_due = Window.partitionBy(*CONTRACT).orderBy("due_date", "installment_id", "c.rank")
-    due_to = F.sum("c.size").over(by_due.rowsBetween(Window.unboundedPreceding, 0))
-    due = pieces.select(
-        *CONTRACT,
-        (due_to - F.col("c.size")).cast(MONEY).alias("pos"),
-        due_to.cast(MONEY).alias("end"),
-        F.struct(
-            "installment_id", F.col("c.part").alias("part"), due_to.cast(MONEY).alias("end")
-        ).alias("owed"),
-    )
+    axis = money_axis(payments, installments)
+    of = lambda side, *c: F.when(F.col("side") == side, F.struct(*c, "end"))
+    marks = axis.select(*CONTRACT, "pos", "end", of(0, "id").alias("pay"), of(1, "id", "part").alias("owed"))
     # Empty components share their position with the next one; ordering by `end` puts them first.
-    along = Window.partitionBy(*CONTRACT).orderBy("pos", "end")
-    seen = along.rowsBetween(Window.unboundedPreceding, 0)
-    segments = paid.unionByName(due, allowMissingColumns=True).select(
-        *CONTRACT,
-        "pos",
-        F.last("pay", ignorenulls=True).over(seen).alias("pay"),
-        F.last("owed", ignorenulls=True).over(seen).alias("owed"),
-        F.lead("pos").over(along).alias("next_pos"),
-    )
+    segments = scan(marks, CONTRACT, "pos", Scan(lasts={"pay": "pay", "owed": "owed"}, leads={"next_pos": "pos"}),
+                    tie="end")
     reach = F.least("next_pos", F.col("pay.end"), F.col("owed.end"))
     met = segments.filter(F.col("pay").isNotNull() & F.col("owed").isNotNull()).withColumn(
         "size", (reach - F.col("pos")).cast(MONEY)
@@ -146,8 +139,8 @@ def allocate_payments(payments: DataFrame, installments: DataFrame) -> DataFrame
         met.filter(F.col("size") > 0)
         .groupBy(
             *CONTRACT,
-            F.col("pay.payment_id").alias("payment_id"),
-            F.col("owed.installment_id").alias("installment_id"),
+            F.col("pay.id").alias("payment_id"),
+            F.col("owed.id").alias("installment_id"),
         )
         .agg(
             *[
@@ -200,6 +193,7 @@ def installment_steps(installments: DataFrame, movements: DataFrame) -> DataFram
     One row per installment and change day `at` (the first one far in the past), valid
     until `until` (exclusive, NULL for the last). Paid money never falls below zero and
     never exceeds what is scheduled. `fell_*` is how much the open amount fell at `at`.
+    Movements have one row per installment and day, so the window is as long as the calendar.
     """
     opening = installments.select(
         *INSTALLMENT,
@@ -247,98 +241,102 @@ def ledger_state(
 
     Adds open_principal/interest/fees/total, cumulative_paid, past_due_amount, oldest_due,
     next_due_date and dpd; with `write_offs` (contract, lost_on, lost) also cumulative_lost.
-    Events and probes are put on one time line per contract, so every as-of value is a running
-    total; an event of the probe's own day counts. `give_up_days` may be set when the caller stops a contract at the
-    first month in which it is that late: overdue intervals are then not followed further.
+    Changes of a day are summed first and put on one time line per contract with the probes, so
+    every as-of value is a running total over days, the overdue money too: an overdue stretch
+    adds its money on its first day and takes it away after its last. An event of the probe's own
+    day counts. `give_up_days` may be set for month-end probes without a gap, when the caller
+    stops a contract at the first month in which it is that late; other probes are refused then.
     """
     first_step = F.col("at") == F.expr(ORIGIN)
-    changes = steps.groupBy(*CONTRACT, "at").agg(
-        *[
-            F.sum(F.when(first_step, F.col(f"open_{p}")).otherwise(-F.col(f"fell_{p}")))
-            .cast(MONEY)
-            .alias(f"d_{p}")
-            for p in PARTS
-        ],
-        F.sum(F.when(~first_step, F.col("fell_total"))).cast(MONEY).alias("d_paid"),
-    )
-    dues = installments.groupBy(*CONTRACT, F.col("due_date").alias("at")).agg(
-        F.first("due_date").alias("due")
-    )
-    marks = probes.select(*CONTRACT, F.col("snapshot_date").alias("at"), F.lit(1).alias("side"))
-    line = (
-        marks.unionByName(changes.withColumn("side", F.lit(0)), allowMissingColumns=True)
-        .unionByName(dues.withColumn("side", F.lit(0)), allowMissingColumns=True)
-    )
+    changes = steps.select(
+        *CONTRACT, "at",
+        *[F.when(first_step, F.col(f"open_{p}")).otherwise(-F.col(f"fell_{p}")).alias(f"d_{p}") for p in PARTS],
+        F.when(~first_step, F.col("fell_total")).alias("d_paid"),
+    )
+    dues = installments.select(*CONTRACT, F.col("due_date").alias("at"), F.col("due_date").alias("due"))
+    late = overdue_steps(steps)
+    turns = late.select(*CONTRACT, F.explode(F.array(
+        F.struct(F.col("late_from").alias("at"), F.col("open_total").alias("d_late")),
+        F.struct(F.col("until").alias("at"), (-F.col("open_total")).alias("d_late")),
+    )).alias("e")).select(*CONTRACT, "e.at", "e.d_late").filter(F.col("at").isNotNull())
+    line = changes.unionByName(dues, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+    sums = [*[f"d_{p}" for p in PARTS], "d_paid", "d_late"]
     extra = []
     if write_offs is not None:
-        lost = write_offs.select(*CONTRACT, F.col("lost_on").alias("at"), F.lit(0).alias("side"),
-                                 F.col("lost").cast(MONEY).alias("d_lost"))
+        lost = write_offs.select(*CONTRACT, F.col("lost_on").alias("at"), F.col("lost").cast(MONEY).alias("d_lost"))
         line = line.unionByName(lost, allowMissingColumns=True)
         extra = ["lost"]
+        sums.append("d_lost")
+    # At most one row for each day of a contract, whatever happened on it.
+    daily = line.groupBy(*CONTRACT, "at").agg(
+        *[F.sum(c).cast(MONEY).alias(c) for c in sums], F.min("due").alias("due"))
+    marks = probes.select(*CONTRACT, F.col("snapshot_date").alias("at")).distinct()
+    line = marks.withColumn("side", F.lit(1)).unionByName(daily.withColumn("side", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*CONTRACT)
     upto = w.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    onward = w.orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), _zero()).cast(MONEY)
     state = (
         line.select(
             *CONTRACT,
             "at",
             "side",
+            *[total(f"d_{p}").alias(f"open_{p}") for p in PARTS],
+            *[total(f"d_{x}").alias(f"cumulative_{x}") for x in ("paid", *extra)],
+            total("d_late").alias("past_due_amount"),
             F.min("due").over(onward).alias("next_due_date"),
-            *[
-                F.coalesce(F.sum(f"d_{p}").over(upto), _zero()).cast(MONEY).alias(f"open_{p}")
-                for p in PARTS
-            ],
-            *[
-                F.coalesce(F.sum(f"d_{x}").over(upto), _zero()).cast(MONEY)
-                .alias(f"cumulative_{x}")
-                for x in ("paid", *extra)
-            ],
         )
         .filter(F.col("side") == 1)
         .drop("side")
         .withColumnRenamed("at", "snapshot_date")
     )
-    late = overdue_at(probes, steps, give_up_days)
-    joined = state.join(late, [*CONTRACT, "snapshot_date"], "left")
+    oldest = oldest_due_at(probes, late, give_up_days)
+    joined = state.join(oldest, [*CONTRACT, "snapshot_date"], "left")
     return joined.withColumn(
-        "past_due_amount", F.coalesce("past_due_amount", _zero()).cast(MONEY)
-    ).withColumn(
         "dpd", F.coalesce(F.datediff("snapshot_date", "oldest_due"), F.lit(0)).cast("int")
     )
 
 
-def overdue_at(probes: DataFrame, steps: DataFrame, give_up_days: int | None = None) -> DataFrame:
-    """Oldest overdue installment and overdue money at each probe that has any.
+def overdue_steps(steps: DataFrame) -> DataFrame:
+    """Stretches of days [late_from, until) in which an installment has overdue money."""
+    late_from = F.greatest(F.col("at"), F.date_add("due_date", 1))
+    return steps.filter(F.col("open_total") > _tolerance()).select(
+        *CONTRACT, "due_date", "open_total", late_from.alias("late_from"), "until",
+    ).filter(F.col("until").isNull() | (F.col("late_from") < F.col("until")))
+
+
+def oldest_due_at(probes: DataFrame, late: DataFrame, give_up_days: int | None = None) -> DataFrame:
+    """Due date of the oldest overdue installment at each probe that has any.
 
-    Only the overdue stretches of an installment are spread over months, so contracts that
-    pay in time cost nothing here. The join is on contract and month.
+    Equal stretches of a contract become one row, then only the months of a stretch are spread;
+    the join is on contract and month, and what meets there is bounded by the days of a month.
     """
-    last = probes.groupBy(*CONTRACT).agg(F.max("snapshot_date").alias("last_probe"))
-    late_from = F.greatest(F.col("at"), F.date_add("due_date", 1))
-    stop = F.coalesce(F.date_sub("until", 1), F.col("last_probe"))
-    late_to = F.least(stop, F.col("last_probe"))
+    months = F.months_between(F.trunc(F.max("snapshot_date"), "month"), F.trunc(F.min("snapshot_date"), "month"))
+    span = [F.max("snapshot_date").alias("last_probe")]
+    if give_up_days is not None:
+        gapless = (F.count_distinct("snapshot_date") == months + 1) & F.min(
+            F.col("snapshot_date") == F.last_day("snapshot_date"))
+        span.append(gapless.alias("gapless"))
+    last = probes.groupBy(*CONTRACT).agg(*span)
+    late_to = F.least(F.coalesce(F.date_sub("until", 1), F.col("last_probe")), F.col("last_probe"))
     if give_up_days is not None:
-        # The first month end at which the installment is that late lies within 31 more days.
-        late_to = F.least(late_to, F.date_add("due_date", give_up_days + 31))
+        # With a probe at every month end, one at which the installment is that late lies within
+        # 31 more days.
+        late_to = F.least(late_to, F.when(F.col("gapless"), F.date_add("due_date", give_up_days + 31)).otherwise(
+            F.raise_error(F.lit("give_up_days needs a probe at every month end")).cast("date")))
     stretches = (
-        steps.filter(F.col("open_total") > _tolerance())
+        late.select(*CONTRACT, "due_date", "late_from", "until").distinct()
         .join(last, CONTRACT)
-        .select(
-            *CONTRACT, "due_date", "open_total",
-            late_from.alias("late_from"), late_to.alias("late_to"),
-        )
+        .select(*CONTRACT, "due_date", "late_from", late_to.alias("late_to"))
         .filter(F.col("late_from") <= F.col("late_to"))
         .withColumn("month", F.explode(month_sequence("late_from", "late_to")))
     )
-    dated = probes.select(*CONTRACT, "snapshot_date", month_start("snapshot_date").alias("month"))
+    dated = probes.select(*CONTRACT, "snapshot_date", month_start("snapshot_date").alias("month")).distinct()
     return (
         stretches.join(dated, [*CONTRACT, "month"])
         .filter(F.col("snapshot_date").between(F.col("late_from"), F.col("late_to")))
         .groupBy(*CONTRACT, "snapshot_date")
-        .agg(
-            F.min("due_date").alias("oldest_due"),
-            F.sum("open_total").cast(MONEY).alias("past_due_amount"),
-        )
+        .agg(F.min("due_date").alias("oldest_due"))
     )
 
 
@@ -385,6 +383,7 @@ def monthly_ledger(
     dated = state.withColumn(
         "status", contract_status(F.col("dpd"), F.col("open_total"), charge_off_dpd)
     )
+    # Probes are one row a month, so the window is as long as the calendar has months.
     ended = F.min(
         F.when(F.col("status").isin(*TERMINAL_STATUSES), F.col("snapshot_date"))
     ).over(Window.partitionBy(*CONTRACT))

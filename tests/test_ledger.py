@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from loanweave.operators import ledger
@@ -166,3 +167,86 @@ def test_expectation_counts_write_offs_up_to_the_day(spark):
     got = [(r.expected_write_off, r.expected_total_balance, r.expected_dpd)
            for r in ledger_expectation(t, ("run_id",)).orderBy("snapshot_date").collect()]
     assert got == [(D(0), D(100), 21), (D(100), D(0), 50)]
+
+
+# --- one contract that holds half of the rows ---------------------------------------------
+
+
+def hot_case(n=400):
+    """Contract "hot" has as many rows as all others together; numbers from a fixed rule."""
+    insts, pays = [], []
+    for k in range(2 * n):
+        c = "hot" if k < n else f"c{k % 37}"
+        due = date(2024, 1, 1) + timedelta(days=(k * 7) % 300)
+        insts.append(("r", c, f"{c}-i{k}", due, D(10 + k % 5), D(k % 3), D(k % 2), D(10 + k % 5 + k % 3 + k % 2)))
+        if k % 4:
+            day = date(2024, 1, 1) + timedelta(days=(k * 11) % 330)
+            pays.append(("r", c, f"{c}-p{k}", D(7 + (k * 5) % 13), "settled", day, None))
+    return insts, pays
+
+
+def plain_waterfall(insts, pays):
+    open_, out = {}, {}
+    for r in sorted(insts, key=lambda r: (r[1], r[3], r[2])):
+        open_.setdefault(r[1], []).append([r[2], r[6], r[5], r[4]])
+    for p in sorted(pays, key=lambda p: (p[1], p[5], p[2])):
+        left = p[3]
+        for line in open_.get(p[1], []):
+            got = []
+            for i in (1, 2, 3):
+                take = min(line[i], left)
+                line[i] -= take
+                left -= take
+                got.append(take)
+            if sum(got):
+                out[p[2], line[0]] = tuple(got)
+    return out
+
+
+def test_hot_contract_waterfall_is_spread(spark, monkeypatch):
+    insts, pays = hot_case()
+    i, p = spark.createDataFrame(insts, INST), spark.createDataFrame(pays, PAY)
+    real = ledger.scan
+    monkeypatch.setattr(ledger, "scan", lambda *a, **k: real(*a, **k, cells=7))
+    got = ledger.allocate_payments(p, i)
+    assert {(r.payment_id, r.installment_id): (r.allocated_fees, r.allocated_interest, r.allocated_principal)
+            for r in got.collect()} == plain_waterfall(insts, pays)
+
+
+def test_hot_contract_balances(spark):
+    insts, pays = hot_case()
+    allocs = [(p[0], p[1], i, p[2], a[2], a[1], a[0], sum(a))
+              for p in pays for (q, i), a in plain_waterfall(insts, pays).items() if q == p[2]]
+    i = spark.createDataFrame(insts, INST)
+    steps = ledger.installment_steps(i, ledger.settled_movements(
+        spark.createDataFrame(allocs, ALLOC), spark.createDataFrame(pays, PAY)))
+    days = [date(2024, m, 28) for m in range(1, 13)]
+    probes = spark.createDataFrame([("r", c, d) for c in ("hot", "c3") for d in days],
+                                   "run_id string, contract_id string, snapshot_date date")
+    paid_on = {p[2]: p[5] for p in pays}
+    for r in ledger.ledger_state(probes, i, steps).collect():
+        mine = {x[2]: x for x in insts if x[1] == r.contract_id}
+        paid = dict.fromkeys(mine, D(0))
+        for a in allocs:
+            if a[2] in mine and paid_on[a[3]] <= r.snapshot_date:
+                paid[a[2]] += a[7]
+        late = [k for k, x in mine.items() if x[3] < r.snapshot_date and x[7] - paid[k] > D("0.01")]
+        assert r.cumulative_paid == sum(paid.values())
+        assert r.open_total == sum(x[7] for x in mine.values()) - sum(paid.values())
+        assert r.past_due_amount == sum(mine[k][7] - paid[k] for k in late)
+        assert r.dpd == max(((r.snapshot_date - mine[k][3]).days for k in late), default=0)
+
+
+def test_give_up_days_needs_every_month_end(spark):
+    insts = [inst("i1", date(2024, 1, 10), 50)]
+    i = spark.createDataFrame(insts, INST)
+    steps = ledger.installment_steps(i, ledger.settled_movements(
+        spark.createDataFrame([], ALLOC), spark.createDataFrame([], PAY)))
+    schema = "run_id string, contract_id string, snapshot_date date"
+    ends = [date(2024, 1, 31), date(2024, 2, 29), date(2024, 3, 31)]
+    good = spark.createDataFrame([("r", "c", d) for d in ends], schema)
+    assert [r.dpd for r in ledger.ledger_state(good, i, steps, 60).orderBy("snapshot_date").collect()] == [21, 50, 81]
+    for days in ([ends[0], ends[2]], [date(2024, 1, 30), date(2024, 2, 29)]):
+        gap = spark.createDataFrame([("r", "c", d) for d in days], schema)
+        with pytest.raises(Exception, match="every month end"):
+            ledger.ledger_state(gap, i, steps, 60).collect()
