@@ -1,7 +1,8 @@
 """From drift measures to signals, alert groups and incidents.
 
-Cutoffs come from what happens by chance: samples are drawn from reference histograms and
-score counts (never from the rows), so a study costs bins x replicates at any data size.
+Cutoffs come from what happens by chance: batches are drawn from reference histograms and
+score counts (never from the rows), without replacement and of exactly the wanted size, so a
+study costs bins x replicates at any data size.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from loanweave.functions.numeric import SHARE_FLOOR
 from loanweave.operators.drift import BINS
 from loanweave.operators.evaluation import discrimination_of_counts, score_counts, with_one_row
-from loanweave.operators.replicates import poisson, uniform, with_replicates
+from loanweave.operators.count_draws import draw_counts
+from loanweave.operators.replicates import uniform, with_replicates
 from loanweave.operators.scan import Scan, exact_quantiles, scan
+from loanweave.session import settle
 
 REVIEW, MATERIAL = 0.95, 0.995
 MIN_SAMPLE = 30
@@ -39,25 +42,27 @@ def _psi(b: Column, r: Column) -> Column:
 
 def psi_null(reference_counts: DataFrame, batch_size: Column | int, replicates: int,
              seed: int = 3, bins: int = BINS, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, replicate, feature, psi) of unperturbed batches drawn from the histograms."""
+    """(keep, replicate, feature, psi) of unperturbed batches drawn from the histograms.
+
+    A batch has exactly `batch_size` rows of a feature (all, if there are fewer), drawn without
+    replacement. With `keep`, `batch_size` is an array of sizes, one kept in that column.
+    """
     total = reference_counts.groupBy("feature").agg(F.sum("n").alias("total"))
     grid = total.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     shares = grid.join(reference_counts, ["feature", "bin"], "left").select(
-        "feature", "bin", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("r")
+        "feature", "bin", "total", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("r"),
+        F.coalesce("n", F.lit(0)).alias("n"),
     )
     size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
-    copies = with_replicates(shares, replicates)
     if keep:
-        copies = copies.withColumn(keep[0], F.explode(size))
+        shares = shares.withColumn(keep[0], F.explode(size))
         size = F.col(keep[0])
-    drawn = copies.withColumn(
-        "k", poisson(F.col("r") * size, F.col("replicate"), F.col("feature"), F.col("bin"),
-                     *[F.col(k) for k in keep], seed)
-    )
+    shares = settle(shares)
+    drawn = draw_counts(shares, [*keep, "feature"], "bin", "n", F.least(size, F.col("all")), replicates, seed,
+                        replace=False)
     group = [*keep, "replicate", "feature"]
-    drawn_total = drawn.groupBy(*group).agg(F.sum("k").alias("t"))
-    joined = drawn.join(drawn_total, group)
-    share = F.col("k") / F.greatest(F.col("t"), F.lit(1))
+    joined = with_replicates(shares, replicates).join(drawn, [*group, "bin"], "left")
+    share = F.coalesce("k", F.lit(0)) / F.least(size, F.col("total"))
     return joined.groupBy(*group).agg(F.sum(_psi(share, F.col("r"))).alias("psi"))
 
 
@@ -111,13 +116,13 @@ def calibrate_scores(reference: DataFrame, batch_size: int, replicates: int = 10
             return stats.join(rank, keys)
         return with_one_row(stats, rank)
 
-    whole = counts.agg(F.sum(size).alias("all"))
-    scale = batch_size / c("all")
-    copies = with_replicates(with_one_row(counts, whole), replicates)
-    ident = [c("replicate"), c("p"), F.lit(seed)]
-    drawn = copies.withColumn("pos", poisson(c("pos") * scale, *ident, "pos")).withColumn(
-        "neg", poisson(c("neg") * scale, *ident, "neg")
-    )
+    cells = counts.select(F.explode(F.array(*[
+        F.struct(F.struct(c("p").alias("p"), F.lit(i).alias("y")).alias("cell"), c(n).alias("n"))
+        for i, n in enumerate(("neg", "pos"))])).alias("e")).select("e.*")
+    drawn = draw_counts(cells, [], "cell", "n", F.least(F.lit(batch_size), c("all")), replicates, seed, replace=False)
+    drawn = drawn.groupBy("replicate", c("cell.p").alias("p")).agg(
+        *[F.sum(F.when(c("cell.y") == i, c("k")).otherwise(0)).alias(n) for i, n in enumerate(("neg", "pos"))])
+    drawn = settle(drawn)
     names = {"score_mean_shift": "score", "event_rate_delta": "rate", "brier_delta": "brier",
              "roc_auc_delta": "roc_auc", "pr_auc_delta": "pr_auc"}
     real = summary(counts, []).select(*[c(v).alias(f"r_{v}") for v in names.values()])
@@ -139,16 +144,14 @@ def calibrate_composition(group_counts: DataFrame, batch_size: int, replicates:
     """Cutoffs of the largest share shift over (attribute, group); counts have a column n."""
     total = group_counts.groupBy("attribute").agg(F.sum("n").alias("total"))
     shares = group_counts.join(total, "attribute").select(
-        "attribute", "group", (F.col("n") / F.col("total")).alias("r")
-    )
-    drawn = with_replicates(shares, replicates).withColumn(
-        "k", poisson(F.col("r") * batch_size, F.col("replicate"), F.col("attribute"),
-                     F.col("group"), seed)
+        "attribute", "group", "n", "total", (F.col("n") / F.col("total")).alias("r")
     )
-    key = ["replicate", "attribute"]
-    t = drawn.groupBy(*key).agg(F.sum("k").alias("t"))
-    shift = F.abs(F.col("k") / F.greatest(F.col("t"), F.lit(1)) - F.col("r"))
-    worst = drawn.join(t, key).groupBy("replicate").agg(F.max(shift).alias("shift"))
+    size = F.least(F.lit(batch_size), F.col("total"))
+    drawn = draw_counts(shares, ["attribute"], "group", "n", F.least(F.lit(batch_size), F.col("all")), replicates,
+                        seed, replace=False)
+    joined = with_replicates(shares, replicates).join(drawn, ["replicate", "attribute", "group"], "left")
+    shift = F.abs(F.coalesce("k", F.lit(0)) / size - F.col("r"))
+    worst = joined.groupBy("replicate").agg(F.max(shift).alias("shift"))
     return _cutoffs(worst, "max_composition_shift", "shift", batch_size)
 
 

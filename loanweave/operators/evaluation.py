@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loanweave.functions.buckets import TIERS, sample_tier
 from loanweave.functions.numeric import clipped_probability, logit, row_sum
+from loanweave.operators.count_draws import draw_counts
 from loanweave.operators.replicates import uniform, with_replicates
 from loanweave.operators.scan import Scan, decile, exact_quantiles, positions, scan
 from loanweave.session import settle
@@ -30,8 +31,11 @@ def _on(keys: Sequence[str]) -> list[str]:
 
 
 def with_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The rows of `a` with the columns of `b`, a table of one row that every task may have."""
-    return a.crossJoin(F.broadcast(b))
+    """The rows of `a` with the columns of `b`, a table of one row that every task may have;
+    NULLs if it has none."""
+    row = F.broadcast(b.limit(1).select(F.lit(1).alias("_one"), F.struct("*").alias("_row")))
+    keyed = a.withColumn("_one", F.lit(1)).join(row, "_one", "left")
+    return keyed.select(*a.columns, *[F.col("_row")[c].alias(c) for c in b.columns])
 
 
 def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -407,94 +411,92 @@ def group_gaps(metrics: DataFrame, names: Sequence[str] = GAP_METRICS) -> DataFr
 # --- uncertainty -----------------------------------------------------------------------
 
 
-def _numbered(counts: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
-    """Each score with `below`, the rows of smaller scores in its population: row k of a
-    population (from 1) belongs to the score with below < k <= below + n."""
-    sized = counts.select(*by, "p", size.alias("n")).where("n > 0")
-    placed = scan(sized, by, "p", Scan(sums={"upto": "n"}, totals={"all": "n"}))
-    return placed.withColumn("below", F.col("upto") - F.col("n"))
+def resampled(counts: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """by, replicate, p, pos, neg: as many draws with replacement from each class as it has rows."""
+    c = F.col
+    classes = counts.select(*by, "p", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("class"), c(n).alias("n")) for n in ("pos", "neg")])).alias("e"))
+    drawn = draw_counts(classes.select(*by, "p", "e.class", "e.n"), [*by, "class"], "p", "n", c("all"),
+                        replicates, seed, replace=True)
+    zero = F.lit(0).cast("bigint")
+    return drawn.groupBy(*by, "replicate", "p").agg(
+        *[F.sum(F.when(c("class") == n, c("k")).otherwise(zero)).alias(n) for n in ("pos", "neg")])
 
 
-def resampled(counts: DataFrame, by: Sequence[str], column: str, replicates: int, seed: int
-              ) -> DataFrame:
-    """by, replicate, p and `column`: as many draws with replacement as the class has rows.
+BOOTSTRAP_METRICS = ("roc_auc", "pr_auc", "brier_score", "ks_statistic", "recall_at_top", "precision_at_top")
 
-    Draw j of a replicate takes row floor(u * all) + 1, u a hash of (population, replicate, j),
-    so class sizes are kept exactly. Draws are counted per row before they meet the scores.
-    """
+
+def metrics_of_counts(counts: DataFrame, cuts: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """keys and BOOTSTRAP_METRICS of score counts; `cuts` has by and the cut `threshold`."""
     c = F.col
-    rows = _numbered(counts, by, c(column)).withColumn(
-        "k", F.explode(F.sequence(c("below") + 1, c("upto"))))
-    u = uniform(*[c(b) for b in by], c("replicate"), c("k"), column, seed)
-    draws = with_replicates(rows.select(*by, "k", "all"), replicates).select(
-        *by, "replicate", (F.floor(u * c("all")) + 1).alias("k"))
-    draws = draws.groupBy(*by, "k", "replicate").agg(F.count(F.lit(1)).alias("m"))
-    return draws.join(rows.select(*by, "k", "p"), [*by, "k"]).groupBy(*by, "replicate", "p").agg(
-        F.sum("m").alias(column))
+    n = F.sum(c("pos") + c("neg"))
+    high = c("p") >= c("threshold")
+    hit = F.sum(F.when(high, c("pos")).otherwise(0))
+    flagged = F.sum(F.when(high, c("pos") + c("neg")).otherwise(0))
+    loss = _join(counts, cuts, by).groupBy(*keys).agg(
+        (F.sum(c("pos") * (1 - c("p")) * (1 - c("p")) + c("neg") * c("p") * c("p")) / n).alias("brier_score"),
+        _div(hit, F.sum("pos")).alias("recall_at_top"), _div(hit, flagged).alias("precision_at_top"),
+    )
+    return _join(discrimination_of_counts(counts, keys), loss, keys).select(*keys, *BOOTSTRAP_METRICS)
+
+
+def top_cut(df: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
+    """by, threshold: the score above which the top `share` lies."""
+    return share_threshold(df, share, by).select(*by, "threshold")
+
+
+def point_estimates(df: DataFrame, by: Sequence[str] = (), top: float = 0.1, cuts: DataFrame | None = None
+                    ) -> DataFrame:
+    """by, metric, point_estimate: the metrics of `bootstrap` on the data as they are."""
+    counts = settle(score_counts(df, by))
+    wide = metrics_of_counts(counts, top_cut(df, top, by) if cuts is None else cuts, by, list(by))
+    return wide.unpivot(list(by), list(BOOTSTRAP_METRICS), "metric", "point_estimate")
 
 
 def bootstrap(df: DataFrame, replicates: int = 1000, by: Sequence[str] = (), seed: int = 11,
-              percentiles: Mapping[str, float] | None = None) -> DataFrame:
-    """Percentile bands of AUC, AP, KS and Brier under resampling within each class.
+              percentiles: Mapping[str, float] | None = None, top: float = 0.1, cuts: DataFrame | None = None
+              ) -> DataFrame:
+    """Point estimates and percentile bands of AUC, AP, Brier, KS and of recall and precision in
+    the top share, under resampling within each class.
 
-    Every replicate has the class sizes of the data, so the prevalence has no spread.
+    Every replicate has the class sizes of the data. The cut of the top share is fixed: taken
+    from the data, or given as `cuts` (by, threshold). `failures` counts replicates without a
+    value, as when a class is empty. Draws are made on score counts, so the work is distinct
+    scores x replicates.
     """
     wanted = percentiles or {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975}
-    c = F.col
-    counts = settle(score_counts(df, by))
-    zero = F.lit(0).cast("bigint")
-    drawn = resampled(counts, by, "pos", replicates, seed).join(
-        resampled(counts, by, "neg", replicates, seed), [*by, "replicate", "p"], "full").select(
-        *by, "replicate", "p", F.coalesce("pos", zero).alias("pos"), F.coalesce("neg", zero).alias("neg"))
-    drawn = settle(drawn)
+    by = list(by)
+    cuts = settle(top_cut(df, top, by) if cuts is None else cuts)
+    drawn = settle(resampled(settle(score_counts(df, by)), by, replicates, seed))
     keys = [*by, "replicate"]
-    rank = discrimination_of_counts(drawn, keys)
-    n = F.sum(c("pos") + c("neg"))
-    loss = drawn.groupBy(*keys).agg(
-        (F.sum(c("pos") * (1 - c("p")) * (1 - c("p")) + c("neg") * c("p") * c("p")) / n)
-        .alias("brier_score"),
-        (F.sum("pos") / n).alias("prevalence"),
-    )
-    names = ["roc_auc", "pr_auc", "ks_statistic", "brier_score", "prevalence"]
-    tidy = rank.join(loss, keys).select(*keys, *names).unpivot(keys, names, "metric", "value")
+    names = list(BOOTSTRAP_METRICS)
+    tidy = settle(metrics_of_counts(drawn, cuts, by, keys).unpivot(keys, names, "metric", "value"))
     bands = exact_quantiles(tidy, [*by, "metric"], "value", wanted)
     spread = tidy.groupBy(*by, "metric").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.count("value").alias("replicates"),
+        (F.lit(replicates) - F.count("value")).cast("bigint").alias("failures"),
     )
-    return bands.join(spread, [*by, "metric"])
+    real = point_estimates(df, by, top, cuts)
+    return real.join(bands, [*by, "metric"], "left").join(spread, [*by, "metric"], "left")
 
 
 def permutation_null(df: DataFrame, permutations: int = 999, seed: int = 13) -> DataFrame:
     """AUC of shuffled labels against the real one.
 
-    A permutation gives the labels of the positives to the rows with the smallest hashes, so
-    each has exactly as many positives as the data. Only rows whose hash is close to the border
-    (within eight standard deviations of the share of positives) are ordered; the others are
-    counted per score where they are.
+    A permutation hands the positives to rows drawn without replacement, counted per score, so
+    each has exactly as many positives as the data and the work is distinct scores x permutations.
     Returns p value (k+1)/(n+1), null mean and spread, z, and distinct null values.
     """
     c = F.col
     counts = settle(score_counts(df))
     real = discrimination_of_counts(counts).select(c("roc_auc").alias("real_auc"))
-    total = counts.agg(F.sum("pos").alias("pos"), F.sum(c("pos") + c("neg")).alias("n")).first()
-    positives, n = total.pos or 0, total.n or 0
-    rate = positives / n if n else 0.0
-    margin = 8 * (rate * (1 - rate) / n) ** 0.5 if n else 0.0
-    rows = counts.select("p", F.explode(F.sequence(F.lit(1).cast("bigint"), c("pos") + c("neg"))).alias("i"))
-    hashed = with_replicates(rows, permutations).withColumn("u", uniform(c("replicate"), c("p"), c("i"), seed))
-    sure = hashed.groupBy("replicate", "p").agg(
-        F.count_if(c("u") < rate - margin).alias("sure"), F.count(F.lit(1)).alias("n"))
-    border = hashed.where((c("u") >= rate - margin) & (c("u") <= rate + margin))
-    placed = border.withColumn("place", F.row_number().over(
-        Window.partitionBy("replicate").orderBy("u", "p", "i")))
-    sure = settle(sure)
-    missing = sure.groupBy("replicate").agg((F.lit(positives) - F.sum("sure")).alias("missing"))
-    more = placed.join(missing, "replicate").where("place <= missing").groupBy("replicate", "p").agg(
-        F.count(F.lit(1)).alias("more"))
-    chosen = c("sure") + F.coalesce("more", F.lit(0))
-    drawn = sure.join(more, ["replicate", "p"], "left").select(
-        "replicate", "p", chosen.alias("pos"), (c("n") - chosen).alias("neg"))
+    positives = counts.agg(F.sum("pos")).first()[0] or 0
+    cells = counts.select("p", (c("pos") + c("neg")).alias("n"))
+    chosen = draw_counts(cells, [], "p", "n", F.lit(positives), permutations, seed, replace=False, name="pos")
+    drawn = with_replicates(cells, permutations).join(chosen, ["replicate", "p"], "left").select(
+        "replicate", "p", F.coalesce("pos", F.lit(0)).alias("pos"),
+        (c("n") - F.coalesce("pos", F.lit(0))).alias("neg"))
     null = discrimination_of_counts(drawn, ["replicate"]).select("replicate", "roc_auc")
     joined = _join(null, real, [])
     beaten = F.count_if(c("roc_auc") >= c("real_auc"))

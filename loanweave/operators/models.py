@@ -23,8 +23,8 @@ from loanweave.functions.keys import case_id
 from loanweave.functions.numeric import logit
 from loanweave.operators import evaluation as ev
 from loanweave.operators import features as ft
+from loanweave.operators import many_fits
 from loanweave.operators.drift import rank_stability
-from loanweave.operators.replicates import poisson
 from loanweave.session import settle
 
 LABEL, ID = "y", "id"
@@ -333,14 +333,10 @@ def split_stability(df: DataFrame, features: Sequence[str], seeds: Sequence[int]
         F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("fits"))
 
 
-def _fitted_signs(train: DataFrame, features: Sequence[str], source: str, runs: Sequence,
-                  make: Callable) -> list[tuple[str, int, str, float]]:
-    rows = []
-    for i, run in enumerate(runs):
-        model = make(run)
-        rows += [(source, i, f, float(v)) for f, v in zip(features,
-                                                          model.stages[-1].coefficients)]
-    return rows
+def _matrix(train: DataFrame, features: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
+    """Imputation and scaling fitted on the training rows, and the rows as x, h, y, id."""
+    made = Pipeline(stages=preprocessing(features)).fit(train)
+    return made, many_fits.prepared(made.transform(train), ID, LABEL)
 
 
 def coefficient_stability(
@@ -348,20 +344,28 @@ def coefficient_stability(
     strengths: Sequence[float] = (0.01, 0.1, 1.0, 10.0), flip_limit: float = 0.05,
     vif_limit: float = 10.0, small: tuple[float, float] = (0.95, 1.05),
 ) -> DataFrame:
-    """Sign flips over bootstrap weights, folds and regularisation, and a class per feature."""
+    """Sign flips over bootstrap weights, folds and regularisation, and a class per feature.
+
+    All fits run together, a pass over the rows for each Newton step. Missing values have the
+    medians of the training rows in every fit; scaling is that of the fit's own rows.
+    """
     spark = train.sparkSession
     base = fit(train, features)
-    folded = ft.folds(train, ID, LABEL, k)
-
-    def weighted(i: int) -> PipelineModel:
-        w = train.withColumn("_w", poisson(F.lit(1.0), F.col(ID), i, 31).cast("double"))
-        return fit(w.filter(F.col("_w") > 0), features, weight="_w")
-
-    rows = _fitted_signs(train, features, "bootstrap", range(replicates), weighted)
-    rows += _fitted_signs(train, features, "cv", range(k),
-                          lambda i: fit(folded.filter(F.col("fold") != i), features))
-    rows += _fitted_signs(train, features, "grid", strengths,
-                          lambda s: fit(train, features, strength=s))
+    _, rows = _matrix(train, features)
+    folded = settle(rows.join(ft.folds(train, ID, LABEL, k).select(F.col(ID).alias("id"), "fold"), "id"))
+    numbers = np.arange(replicates)
+
+    def draw(h: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.concatenate([
+            many_fits.poisson_weights(h, numbers, 31),
+            (fold[:, None] != np.arange(k)[None, :]).astype(np.float64),
+            np.ones((len(h), len(strengths)))], axis=1)
+        return w, np.broadcast_to(y[:, None], w.shape)
+
+    force = np.array([1.0] * (replicates + k) + [float(s) for s in strengths])
+    found = many_fits.fit_many(folded, ["h", "y", "fold"], draw, force).coefficients
+    source = ["bootstrap"] * replicates + ["cv"] * k + ["grid"] * len(strengths)
+    rows = [(s, i, f, float(v)) for i, (s, line) in enumerate(zip(source, found)) for f, v in zip(features, line)]
     fits = spark.createDataFrame(rows, "source string, run int, feature string, value double")
     c = F.col
     original = coefficients(base, features, spark).join(vif_table(train, features), "feature")
@@ -388,21 +392,40 @@ def coefficient_stability(
     return original.join(per, "feature").withColumn("category", label)
 
 
-def retrain_null(df: DataFrame, features: Sequence[str], fits: int = 100) -> DataFrame:
-    """Refits on shuffled targets: what the test AUC looks like when nothing can be learned."""
+def retrain_null(df: DataFrame, features: Sequence[str], fits: int = 100, seed: int = 1000) -> DataFrame:
+    """Refits on shuffled targets: what the test AUC looks like when nothing can be learned.
+
+    A shuffle hands the positives to the training rows with the smallest hashes, exactly as many
+    as there are. All fits run together, the real one among them.
+    """
     split = settle(ft.stratified_split(df, ID, LABEL, {"train": 0.7, "test": 0.3}))
     train, test = (split.filter(F.col("split") == s) for s in ("train", "test"))
-    scored = settle(reduce(lambda a, b: a.unionByName(b), [
-        score(fit(ft.shuffle_column(train, ID, LABEL, 1000 + i), features), test).withColumn(
-            "fit", F.lit(i))
-        for i in range(fits)
-    ]))
-    real = ev.discrimination(score(fit(train, features), test)).first()["roc_auc"]
-    null = ev.discrimination(scored, ["fit"])
+    made, rows = _matrix(train, features)
+    positives = int(rows.agg(F.sum("y")).first()[0] or 0)
+    numbers = np.arange(fits)
+    cuts = many_fits.label_cuts(rows, positives, fits, seed)
+
+    def draw(h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shuffled = many_fits.hashes(h, numbers, seed) <= cuts[None, :]
+        labels = np.concatenate([shuffled.astype(np.float64), y[:, None]], axis=1)
+        return np.ones(labels.shape), labels
+
+    weights = many_fits.fit_many(rows, ["h", "y"], draw, np.ones(fits + 1)).weights
+    tested = many_fits.prepared(made.transform(test), ID, LABEL)
+    lines = F.array(*[F.struct(F.lit(i).alias("fit"), F.lit(float(w[0])).alias("start"),
+                               F.array(*[F.lit(float(v)) for v in w[1:]]).alias("w"))
+                      for i, w in enumerate(weights)])
+    z = F.col("e.start") + F.aggregate(F.zip_with("x", "e.w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scored = tested.withColumn("e", F.explode(lines)).select(
+        F.col("e.fit").alias("fit"), "y", (1 / (1 + F.exp(-z))).alias("p"))
+    found = settle(ev.discrimination(scored, ["fit"]))
+    real = found.where(F.col("fit") == fits).select(F.col("roc_auc").alias("real_auc"))
+    c = F.col
+    null = ev.with_one_row(found.where(c("fit") < fits).select("roc_auc"), real)
     return null.agg(
-        F.lit(real).alias("real_auc"), F.count("roc_auc").alias("fits"),
+        F.max("real_auc").alias("real_auc"), F.count("roc_auc").alias("fits"),
         F.avg("roc_auc").alias("null_mean"), F.stddev_samp("roc_auc").alias("null_std"),
-        ((F.count_if(F.col("roc_auc") >= real) + 1) / (F.count("roc_auc") + 1)).alias("p_value"))
+        ((F.count_if(c("roc_auc") >= c("real_auc")) + 1) / (F.count("roc_auc") + 1)).alias("p_value"))
 
 
 def stress_suite(model: PipelineModel, raw: DataFrame, features: Sequence[str],

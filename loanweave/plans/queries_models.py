@@ -284,12 +284,12 @@ def split_stability(s: Source) -> DataFrame:
 
 @query("coefficient_stability", "E22")
 def coefficient_stability(s: Source) -> DataFrame:
-    return m.coefficient_stability(parts(s)[0], MODEL_FEATURES, replicates=10)
+    return m.coefficient_stability(parts(s)[0], MODEL_FEATURES)
 
 
 @query("retrain_null", "E24")
 def retrain_null(s: Source) -> DataFrame:
-    return m.retrain_null(frame(s), MODEL_FEATURES, fits=3)
+    return m.retrain_null(frame(s), MODEL_FEATURES)
 
 
 @query(
@@ -572,13 +572,13 @@ def _counts(s: Source) -> DataFrame:
 
 @query("chance_cutoffs", "N1 N2 N3")
 def chance_cutoffs(s: Source) -> DataFrame:
-    return calibrate(scores(s), ["p"], ["lang", "source"], 200, 300)
+    return calibrate(scores(s), ["p"], ["lang", "source"], 200, 500)
 
 
 def _psi_cutoffs(s: Source) -> DataFrame:
     counts = _counts(s)
-    return alerts.calibrate_psi(counts, 500, 200).unionByName(
-        alerts.calibrate_family_wise(counts, 500, 200))
+    return alerts.calibrate_psi(counts, 500, 500).unionByName(
+        alerts.calibrate_family_wise(counts, 500, 500))
 
 
 @query("false_alert_study", "N11")
@@ -588,7 +588,7 @@ def false_alert_study(s: Source) -> DataFrame:
 
 @query("batch_size_study", "N12")
 def batch_size_study(s: Source) -> DataFrame:
-    return alerts.batch_size_study(_counts(s), _psi_cutoffs(s), batches=50)
+    return alerts.batch_size_study(_counts(s), _psi_cutoffs(s))
 
 
 def _monitor(s: Source) -> tuple[Monitor, DataFrame]:
@@ -607,7 +607,7 @@ def _monitor(s: Source) -> tuple[Monitor, DataFrame]:
         made = ft.behavioural_features(clean, ["batch_sequence", "id", "y", "segment"])
         return m.score(model, made, ["batch_sequence", *keep])
 
-    limits = settle(calibrate(reference, MODEL_FEATURES, ["segment"], 100, 50))
+    limits = settle(calibrate(reference, MODEL_FEATURES, ["segment"], 100, 500))
     monitor = Monitor(reference, limits, contract, MODEL_FEATURES, ("segment",), engineer,
                       model="v1")
     raw = ft.number_batches(accounts(s), "id", 100)
@@ -626,8 +626,8 @@ def sensitivity_study(s: Source) -> DataFrame:
     ref = drift.long_features(ft.behavioural_features(raw, ["id"]), MODEL_FEATURES)
     edges = drift.edges_of(ref)
     counts = drift.histogram(ref, edges, [])
-    limits = alerts.calibrate_psi(counts, 500, 100).unionByName(
-        alerts.calibrate_family_wise(counts, 500, 100))
+    limits = alerts.calibrate_psi(counts, 500, 500).unionByName(
+        alerts.calibrate_family_wise(counts, 500, 500))
     edited = None
     for kind, values in (("utilisation", (0.1, 0.3, 0.5)), ("payment", (0.2, 0.4, 0.6)),
                          ("delinquency", (1, 2, 3)), ("missingness", (0.05, 0.15, 0.3)),

@@ -265,6 +265,25 @@ def bootstrap_bands(s: Source) -> DataFrame:
     return ev.bootstrap(scores(s))
 
 
+@query(
+    "bootstrap_points",
+    "E14",
+    f"""WITH {_rank_sql()}, top AS (SELECT quantile_cont(p, 0.9::double) AS cut FROM sc),
+        k AS (SELECT avg((p - y) * (p - y)) AS brier_score,
+            count(*) FILTER (WHERE y = 1 AND p >= cut)::double / nullif(count(*) FILTER (WHERE y = 1), 0)
+                AS recall_at_top,
+            count(*) FILTER (WHERE y = 1 AND p >= cut)::double / nullif(count(*) FILTER (WHERE p >= cut), 0)
+                AS precision_at_top FROM sc, top),
+        w AS (SELECT roc_auc::double AS roc_auc, pr_auc::double AS pr_auc, ks_statistic::double AS ks_statistic,
+            brier_score::double AS brier_score, coalesce(recall_at_top, 0) AS recall_at_top,
+            coalesce(precision_at_top, 0) AS precision_at_top FROM disc, k)
+        SELECT metric, round(value, 6) AS point_estimate FROM (UNPIVOT w ON COLUMNS(*)
+            INTO NAME metric VALUE value)""",
+)
+def bootstrap_points(s: Source) -> DataFrame:
+    return ev.point_estimates(scores(s))
+
+
 @query("permutation_null", "E23")
 def permutation_null(s: Source) -> DataFrame:
     return ev.permutation_null(scores(s))

@@ -6,8 +6,10 @@ Everything here is a default: a value the cluster has already set is kept.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+import zipfile
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, wherever the driver found it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loanweave-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "loanweave.zip")  # the driver hands it out
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(root):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(where, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -80,8 +80,14 @@ def test_bootstrap_band_covers_estimate(spark):
     auc = brute(y, p)[0]
     assert bands["roc_auc"].p2_5 < auc < bands["roc_auc"].p97_5
     assert 0.005 < bands["roc_auc"]["std"] < 0.05
-    # Class sizes are kept, so the prevalence has no spread.
-    assert bands["prevalence"].p2_5 == bands["prevalence"].p97_5 == pytest.approx(y.mean())
+    assert bands["roc_auc"].point_estimate == pytest.approx(auc) and bands["roc_auc"].failures == 0
+    top = p >= np.quantile(p, 0.9)
+    assert bands["recall_at_top"].point_estimate == pytest.approx(y[top].sum() / y.sum())
+    assert bands["precision_at_top"].point_estimate == pytest.approx(y[top].mean())
+    # Class sizes are kept.
+    counts = ev.resampled(ev.score_counts(df), [], 7, 1).groupBy("replicate").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    assert {(r.pos, r.neg) for r in counts} == {(int(y.sum()), int((1 - y).sum()))} and len(counts) == 7
 
 
 def test_permutation_null_is_centred(spark):
