@@ -21,6 +21,7 @@ from loanweave.operators.fingerprint import build_fingerprint, check_recorded, t
 from loanweave.operators.scan import Scan, scan
 from loanweave.plans.catalog import Source, query
 from loanweave.plans.oracle_tables import key, ratio
+from loanweave.plans.planted import planted
 from loanweave.plans.queries_marts import day
 from loanweave.plans.star import RUNS
 from loanweave.sources.contracts import OPERATIONAL
@@ -48,19 +49,102 @@ def finding(code: str, contract: str, column: str, source: str, bad: str, exampl
         FROM {source} HAVING count(*) FILTER (WHERE {bad}) > 0"""
 
 
+_PAID_FELL = finding(
+    "CUMULATIVE_PAID_DECREASED", "account_monthly_snapshots", "cumulative_paid",
+    "(SELECT run_id, contract_id, snapshot_date, cumulative_paid, lag(cumulative_paid) "
+    "OVER (PARTITION BY run_id, contract_id ORDER BY snapshot_date) AS b FROM snap)",
+    "cumulative_paid < b", "contract_id || '@' || strftime(snapshot_date, '%Y-%m-%d')", "warning")
+
+
 @query(
     "contract_findings",
-    "V1 V2 V3 V4 V5 V6 V7 Q1 R4 F12 F13 O2 J19",
+    "V3 Q1 R4 O2",
     finding("DOMAIN_VIOLATION", "applications", "channel", "app", "true", "channel")
     + " UNION ALL "
     + finding("DOMAIN_VIOLATION", "fairness_attributes", "region",
-              "(SELECT r_name FROM app JOIN place ON customer_id = c_custkey)", "true", "r_name"),
+              "(SELECT r_name FROM app JOIN place ON customer_id = c_custkey)", "true", "r_name")
+    + " UNION ALL " + _PAID_FELL,
 )
 def contract_findings(s: Source) -> DataFrame:
-    t = s.tables
-    names = ("applications", "fairness_attributes", "contracts", "account_monthly_snapshots")
-    return flat(validation.validate_all(
-        {n: OPERATIONAL[n] for n in names}, t, "strict", SCOPE, rules=False))
+    """All contracts with all their rules; foreign names and reopened balances are what is found."""
+    return flat(validation.validate_all(OPERATIONAL, s.tables, "strict", SCOPE))
+
+
+def _schema_finding(code: str, contract: str, column: str) -> str:
+    return (f"SELECT '{code}', 'error', '{contract}', '{column}', cast(0 AS bigint), "
+            "cast(0 AS bigint), ''")
+
+
+_AT = "contract_id || '@' || strftime(snapshot_date, '%Y-%m-%d')"
+_DECISIONS = """(SELECT run_id, application_id, 'D' || application_id AS d, submitted_at AS since,
+    submitted_at - to_days(CASE WHEN application_id % 60 = 11 THEN 400 ELSE 0 END) AS happened
+    FROM app WHERE outcome IS NOT NULL UNION ALL SELECT run_id, application_id, 'DD' || application_id,
+    submitted_at, submitted_at FROM app WHERE outcome IS NOT NULL AND application_id % 80 = 9)"""
+_EVENT_ID = "CASE WHEN contract_id % 33 <> 5 THEN 'CE-' || contract_id || '-' || strftime(event_date, '%Y-%m-%d') END"
+PLANTED = (
+    ("DOMAIN_VIOLATION", "generation_runs", "config_hash", "runs", "run_id = 'RUN_stress'", "'not hex'"),
+    ("NULL_VIOLATION", "customers", "created_at", "(SELECT c_custkey FROM customer CROSS JOIN runs)",
+     "c_custkey % 50 = 1", "NULL"),
+    ("DOMAIN_VIOLATION", "applications", "channel", "app", "true", "channel"),
+    ("DOMAIN_VIOLATION", "application_features", "debt_to_income", "app", "application_id % 70 = 3", "9.0::double"),
+    ("DOMAIN_VIOLATION", "fairness_attributes", "region",
+     "(SELECT r_name FROM app JOIN place ON customer_id = c_custkey UNION ALL SELECT r_name FROM app "
+     "JOIN place ON customer_id = c_custkey WHERE application_id % 90 = 7)", "true", "r_name"),
+    ("PK_DUPLICATE", "fairness_attributes", "application_id",
+     "(SELECT application_id, CASE WHEN application_id % 90 = 7 THEN 2 ELSE 1 END AS n FROM app)", "n > 1",
+     "application_id", "error", "n"),
+    ("POLICY_WINDOW_INVERTED", "policy_versions", "effective_to", "runs", "run_id = 'RUN_stress'",
+     "policy_version_id"),
+    ("DECISION_POLICY_NOT_VALID_AT_DECISION_TIME", "credit_decisions", "policy_version_id", _DECISIONS,
+     "run_id = 'RUN_stress' OR happened < TIMESTAMP '1995-01-01'", "d"),
+    ("DECISION_BEFORE_SUBMISSION", "applications", "decision_timestamp", _DECISIONS, "happened < since", "d"),
+    ("DECISION_BEFORE_SUBMISSION", "credit_decisions", "decision_timestamp", _DECISIONS, "happened < since", "d"),
+    ("MULTIPLE_FINAL_DECISIONS", "credit_decisions", "application_id",
+     "(SELECT application_id FROM app WHERE outcome IS NOT NULL)", "application_id % 80 = 9", "application_id"),
+    ("CONTRACT_BEFORE_DECISION", "contracts", "contract_date",
+     "(SELECT contract_id FROM con UNION ALL SELECT contract_id FROM con WHERE contract_id % 80 = 9)",
+     "contract_id % 70 = 13 AND contract_id % 60 <> 11", "contract_id"),
+    ("DISBURSEMENT_BEFORE_CONTRACT", "contracts", "disbursement_date", "con", "contract_id % 55 = 17", "contract_id"),
+    ("DOMAIN_VIOLATION", "contracts", "currency_unit", "con", "contract_id % 75 = 4", "'brl'"),
+    ("INSTALLMENT_TOTAL_NOT_RECONCILED", "installments", "scheduled_total", "inst", "contract_id % 45 = 2",
+     "installment_id"),
+    ("UNIQUENESS_VIOLATION", "installments", "contract_id,installment_number",
+     "(SELECT contract_id, k, count(*) AS n FROM (SELECT run_id, contract_id, CASE WHEN contract_id % 40 = 6 THEN 1 "
+     "ELSE installment_number END AS k FROM inst) GROUP BY run_id, contract_id, k)", "n > 1",
+     "contract_id || '-' || k", "error", "n"),
+    ("CPF_LIKE_IDENTIFIER", "payments", "customer_id", "pay", "contract_id % 95 = 8", "'123.456.789-01'"),
+    ("FK_ORPHAN", "payments", "customer_id", "pay", "contract_id % 95 = 8", "'123.456.789-01'"),
+    ("REVERSAL_NOT_AFTER_ORIGINAL", "payments", "reversal_of_payment_id", "(SELECT * FROM pay WHERE is_reversal)",
+     "contract_id % 30 = 7", "payment_id"),
+    ("NEGATIVE_ALLOCATION_AMOUNT", "payment_allocations", "allocated_total", "pay", "contract_id % 65 = 9",
+     "'A-' || payment_id"),
+    ("DOMAIN_VIOLATION", "payment_allocations", "allocated_fees", "pay", "contract_id % 65 = 9", "'-1.00'"),
+    ("ALLOCATION_TOTAL_NOT_RECONCILED", "payment_allocations", "allocated_total", "pay", "contract_id % 65 = 9",
+     "'A-' || payment_id"),
+    ("DPD_BUCKET_MISMATCH", "account_monthly_snapshots", "delinquency_bucket", "snap",
+     "contract_id % 85 = 3 AND dpd_bucket <> '90+'", _AT),
+    ("TOTAL_BALANCE_NOT_RECONCILED", "account_monthly_snapshots", "total_balance", "snap", "contract_id % 105 = 1",
+     _AT),
+    ("PROMISE_FIELDS_INCONSISTENT", "collection_events", "promise_to_pay", "coll",
+     "contract_id % 35 = 1 AND promise_to_pay", _EVENT_ID),
+    ("NULL_VIOLATION", "collection_events", "collection_event_id", "coll", "contract_id % 33 = 5", "NULL"),
+    ("PK_NULL", "collection_events", "collection_event_id", "coll", "contract_id % 33 = 5", "NULL"),
+    ("WRITE_OFF_AMOUNT_NOT_RECONCILED", "write_off_events", "amount", "wo", "contract_id % 25 = 4", "write_off_id"),
+    ("RECOVERY_BEFORE_WRITE_OFF", "recovery_events", "recovery_date", "rec", "contract_id % 20 = 8", "recovery_id"),
+)
+
+
+@query(
+    "planted_findings",
+    "V1 V2 V3 V4 V5 V6 V7 V8 V9 V10 V11 Q1 R4 F12 F13 J19",
+    " UNION ALL ".join([*[finding(*p) for p in PLANTED], _PAID_FELL,
+                        _schema_finding("MISSING_COLUMN", "applications", "product"),
+                        _schema_finding("UNEXPECTED_COLUMN", "applications", "extra")]),
+)
+def planted_findings(s: Source) -> DataFrame:
+    """All contracts and rules over the portfolio with a defect of every kind."""
+    spoilt = planted(s.tables, tuple(OPERATIONAL))
+    return flat(validation.validate_all(OPERATIONAL, spoilt, "strict", SCOPE))
 
 
 @query(
