@@ -10,8 +10,9 @@ A file holds documents of one range of doc_id in ascending order. Layout, little
 A block has about BLOCK ids and is decoded without any other; a document longer than that is a
 block of its own.
 
-Steps, each a Spark job over all rows: ids are made once and stored; the histogram of ids is a
-sum of one row per id and task, at most the size of the vocabulary; the code goes to the tasks
+Steps, each a Spark job over all rows: ids are made once and stored, each task with its counts of
+ids beside them; the histogram is a sum of one row per id and task, at most the size of the
+vocabulary; the code goes to the tasks
 (it is bounded by the vocabulary, which is checked); rows are range-partitioned by doc_id and
 each partition writes one file. Files are named by the rows Spark commits, so a repeated or
 lost attempt leaves nothing that is read.
@@ -40,21 +41,36 @@ MAX_VOCABULARY = 1 << 22
 
 
 def tokenized(docs: DataFrame, tokenizer: str, style: str, end_id: int | None) -> DataFrame:
-    """doc_id, number of ids, ids as little-endian unsigned 32-bit integers, deflated."""
+    """doc_id, number of ids, ids as little-endian unsigned 32-bit integers, deflated; and
+    `counts`, on the last row of each task, the ids that the task met and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, style).encode
+        total = np.zeros(0, np.int64)
+        held = None
+
+        def record(columns: list, counts: bytes | None) -> pa.RecordBatch:
+            marks = [None] * (len(columns[0]) - 1) + [counts]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.binary())],
+                                              names=["doc_id", "n", "ids", "counts"])
+
         for batch in by_bytes(batches, "text"):
             ids, first = encode([t or "" for t in batch.column("text").to_pylist()], end_id)
+            c = np.bincount(ids, minlength=len(total))
+            c[: len(total)] += total
+            total = c
             raw = memoryview(_narrow(ids))
             size = 2 if len(raw) == 2 * len(ids) else 4
             parts = [bytes([size]) + bytes(raw[a * size : b * size]) for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(parts, pa.binary())],
-                names=["doc_id", "n", "ids"])
+            if held:
+                yield record(held, None)
+            held = [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(parts, pa.binary())]
+        if held:
+            used = np.flatnonzero(total)
+            yield record(held, np.stack([used, total[used]]).astype("<i8").tobytes())
 
     keys = docs.select(F.col("doc_id").cast("long"), "text")
-    return keys.mapInArrow(run, "doc_id long, n long, ids binary")
+    return keys.mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -67,20 +83,16 @@ def _wide(part: bytes) -> np.ndarray:
 
 
 def histogram(tokens: DataFrame) -> np.ndarray:
-    """Occurrences of each id over all rows."""
+    """Occurrences of each id over all rows, from the counts of the tasks that made them."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in batch.column("ids").to_pylist():
-                c = np.bincount(_wide(part))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    sums = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for part in batch.column("counts").to_pylist():
+                used, n = np.frombuffer(part, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
+
+    made = tokens.select("counts").where("counts is not null")
+    sums = made.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sums.limit(MAX_VOCABULARY + 1).toPandas()
     if len(rows) > MAX_VOCABULARY:
         raise ValueError("more distinct ids than a vocabulary has")
