@@ -12,12 +12,9 @@ weighted Jaccard. The cost is one hash for each unit and dart, not one for each
 coordinate.
 
 Joining. Equal texts are one class to begin with (their smallest row speaks for them). Bands of
-a signature are keys; the documents of a key are compared with one of them, which is linear in
-the size of the key, however many copies share it: at first with any, then in some rounds with
-the one that has most links so far. Links that hold put documents in one component; only
-documents that share a key and are still in different components are then compared in blocks,
-so no candidate pair that could join two classes is lost, and only links become rows. A link is
-verified on the shingles themselves.
+a signature are keys; documents that share one are linked as `linking` does it: with leaders
+first, then in blocks that hand over spanning forests, so no candidate pair that could join two
+classes is lost. A link is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -30,14 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanweave.llm.components import components
-from loanweave.llm.store import ship, stored
+from loanweave.llm.linking import joined
+from loanweave.llm.store import drop, ship, stored
 from loanweave.llm.text import by_bytes, mixed, run_hashes, text_buffers, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 26, 4
-ROUNDS = 2
-BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
 NO_ID = 2**63 - 1  # stands for a null doc_id, after all others
 
 
@@ -142,97 +137,6 @@ def unit_sets(texts: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame
     return stored(wanted.mapInArrow(hashed, "id long, s binary"), "shingles")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, likeness: float, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose texts reach the likeness."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = unit_sets(texts, needed, words)
-
-    def compare(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append(both >= likeness * ((len(x) + len(y)) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def common_units(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Matrix of the number of units that each left and each right set share."""
-    flat = lambda sets: np.concatenate([np.frombuffer(x, np.uint64) for x in sets])
-    owner = lambda sets: np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
-    u, d, v, e = flat(left), owner(left), flat(right), owner(right)
-    order = np.argsort(v, kind="stable")
-    v, e = v[order], e[order]
-    lo, hi = np.searchsorted(v, u, "left"), np.searchsorted(v, u, "right")
-    n = hi - lo
-    out = np.zeros(len(left) * len(right), np.int64)
-    done = np.cumsum(n)
-    a = 0
-    while a < len(u):  # a bounded number of matches at a time
-        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + (4 << 20), "right")))
-        k = n[a:b]
-        at = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        out += np.bincount(np.repeat(d[a:b], k) * len(right) + e[at], minlength=len(out))
-        a = b
-    return out.reshape(len(left), len(right))
-
-
-def linked_in_blocks(open_: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
-    """Links (a, b) between documents of different labels that share a key, found block by block.
-
-    `open_` has key, id, label. Documents connected by keys form a cluster; it is cut into
-    blocks of bounded size, and each pair of blocks is one unit of work that counts common
-    units and gives only the links. So a cluster of any size is spread, and no pair of
-    documents is a row unless it is a link.
-    """
-    lead = open_.groupBy("key").agg(F.min("id").alias("b"))
-    near = components(open_.join(lead, "key").select(F.col("id").alias("a"), "b"))
-    members = open_.select("id", "label").distinct().join(near.select(F.col("node").alias("id"), F.col("label").alias("cluster")), "id")
-    members = stored(members, "members")
-    sets = unit_sets(texts, members).dropDuplicates(["id"])
-    sized = members.join(sets, "id")
-    blocks = stored(sized.groupBy("cluster").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).alias("blocks")), "blocks")
-    rows = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                       "block", "id", "label", "s")
-    rows = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-
-    def links(x, y, found):
-        left = [r for r in found if r[0] == x]
-        right = [r for r in found if r[0] == y]
-        if not left or not right:
-            return None
-        both = common_units([r[3] for r in left], [r[3] for r in right])
-        size = lambda part: np.array([len(r[3]) // 8 for r in part])
-        label = lambda part: np.array([r[2] for r in part])
-        ok = both >= likeness * (size(left)[:, None] + size(right)[None, :] - both)
-        i, j = np.nonzero(ok & (label(left)[:, None] != label(right)[None, :]))
-        ids = np.array([r[1] for r in left])[i], np.array([r[1] for r in right])[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*ids)), pa.array(np.minimum(*ids))], names=["a", "b"])
-
-    def run(batches):
-        now, found = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "x", "y", "block", "id", "label", "s")]
-            for cluster, x, y, *row in zip(*columns):
-                if (cluster, x, y) != now:
-                    if found and (part := links(now[1], now[2], found)) is not None:
-                        yield part
-                    now, found = (cluster, x, y), []
-                found.append(row)
-        if found and (part := links(now[1], now[2], found)) is not None:
-            yield part
-
-    return stored(rows.mapInArrow(run, "a long, b long").distinct(), "links")
-
-
 def classes(
     docs: DataFrame, likeness: float = 0.8, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
@@ -273,44 +177,15 @@ def _classes_of_texts(docs: DataFrame, likeness: float, bands: int = BANDS, rows
     # Only the row that speaks for its text finds a partner here, so copies make no hot key.
     texts = docs.select(*digests, "text").join(firsts, ["k", "h1", "h2"]).select("id", "text")
     keys = stored(band_keys(texts, bands, rows), "bands")
-    labels = joined(keys, texts, likeness)
-    named = firsts.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+    # Only documents that share a key with another are hashed again.
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    sets = unit_sets(texts, keys.join(shared, "key", "left_semi"))
+    labels = joined(keys, sets, lambda both, x, y: both >= likeness * (x + y - both))
+    named = firsts.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
         "h1", "h2", "k", F.coalesce("label", "id").alias("label"))
-    return ids, stored(named, "named")
-
-
-def joined(keys: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
-    """node, label: components of the verified links between documents that share a key.
-
-    In each of ROUNDS rounds the documents of a key are compared with its best linked one (at
-    first any), unless both are in one component already; that settles most groups of copies.
-    What is left is compared in blocks.
-    """
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1").select("key", "b")
-    open_ = stored(keys.join(shared, "key"), "open")
-    pairs = open_.where("id <> b").select(F.col("id").alias("a"), "b")
-    tested = links = None
-    for _ in range(ROUNDS):
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verified(pairs, texts, likeness), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-        degree = ends.groupBy("id").agg(F.count("*").alias("degree")).join(
-            labels.withColumnRenamed("node", "id"), "id")
-        named = open_.select("key", "id").join(degree, "id", "left").select(
-            "key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        named = stored(named, "named")
-        best = named.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("id", "degree").alias("b"),
-            F.max_by("label", "degree").alias("other")).where("lo <> hi").select("key", "b", "other")
-        open_ = stored(named.join(best, "key"), "open")
-        if not open_.limit(1).count():
-            return labels
-        pairs = open_.where("label <> other").select(F.col("id").alias("a"), "b")
-    return components(links.unionByName(linked_in_blocks(open_.select("key", "id", "label"), texts, likeness)))
+    named = stored(named, "named")
+    drop(keys, sets, labels, firsts)
+    return ids, named
 
 
 def keep_first(docs: DataFrame, likeness: float = 0.8) -> DataFrame:
@@ -326,7 +201,8 @@ def keep_first(docs: DataFrame, likeness: float = 0.8) -> DataFrame:
         F.col("first.k").alias("_k"), F.col("first.h1").alias("_h1"), F.col("first.h2").alias("_h2"))
     (k, h1, h2), words = _row_keys()
     names = [F.col(f"`{c}`") for c in columns]
-    rows = docs.where(words).select(*names, k.alias("_k"), h1.alias("_h1"), h2.alias("_h2"))
+    # The row is carried as one value, so its columns clash with nothing.
+    rows = docs.where(words).select(F.struct(*names).alias("_row"), k.alias("_k"), h1.alias("_h1"), h2.alias("_h2"))
     # Repeated rows become one in each task before they are dealt out, so they make no hot key.
     kept = rows.dropDuplicates(["_k", "_h1", "_h2"]).join(stay, ["_k", "_h1", "_h2"], "left_semi")
-    return kept.select(*names).unionByName(docs.where(~words).select(*names))
+    return kept.select("_row.*").unionByName(docs.where(~words).select(*names))
