@@ -191,14 +191,19 @@ def mix_counts(docs: DataFrame, seed: int = 11, most: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 11, most: float = 3.0) -> DataFrame:
-    """The mixed corpus: each row of `docs` as often as it is taken, columns unchanged.
+    """The mixed corpus: each row of `docs` as often as it is taken, columns unchanged, whatever
+    their names.
 
-    Texts stay where they are: keys are stored without them, and the few numbers of a source
+    Null text has size 0, a null source is a source like any other (the last one), repeated rows
+    are in or out together, an empty table gives no rows. Texts stay where they are: keys are stored without them, and the few numbers of a source
     come back to the rows.
     """
     columns = docs.columns
-    full = keyed(docs, seed).withColumn("_tie", _tie())
+    # The row is carried as one value, so its columns clash with nothing.
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    full = keyed(docs.select("doc_id", "text", "source", whole), seed).withColumn("_tie", _tie())
+    full = full.select("source", "_row", "_size", "_key", "_tie")
     keys = stored(full.select(F.col("source"), "_size", "_key", "_tie"), "keys")
     rows = times(_with_source(full, plan(keys, most).drop("source_size", "target")))
     rows = rows.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+    return rows.select(*[F.col("_row")[c].alias(c) for c in columns])

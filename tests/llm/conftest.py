@@ -20,9 +20,12 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def docs(spark):
     """Nulls, empty and long texts, a repeated row, and columns with names operators use inside."""
-    rows = [(i, t, s, len(t or ""), "x", 1.0, 7) for i, t, s in TEXTS]
+    rows = [(i, t, s, len(t or ""), "x", 1.0, 7, *range(12)) for i, t, s in TEXTS]
+    clashing = ", ".join(f"{c} int" for c in (
+        "epochs", "skipped", "_key", "times", "_k", "_stay", "_lines", "_h1", "_row", "target", "id", "n"))
     return spark.createDataFrame(
-        rows, "doc_id long, text string, source string, n_chars long, lang string, score double, cell int").coalesce(1)
+        rows, "doc_id long, text string, source string, n_chars long, lang string, score double, cell int, "
+        + clashing).coalesce(1)
 
 
 @pytest.fixture(scope="session")
