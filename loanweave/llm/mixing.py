@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanweave.llm.store import ship, stored
+from loanweave.llm.store import drop, ship, stored
 
 SIZE_PATTERN = "[^\\x20\\x09-\\x0D]+"
 ROWS_PER_STRATUM = 20_000
@@ -128,9 +128,11 @@ def plan(keys: DataFrame, most: float = 3.0, budget_share: float = 1.0) -> DataF
         at_border.select("source", F.struct("_key", "_tie").alias("last"), "skipped"))
     ends = ends.groupBy(F.col("source").alias("_s")).agg(
         F.max("last").alias("last"), F.max_by("skipped", "last").alias("skipped"))
-    return stored(goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+    out = stored(goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
         "source", "source_size", "target", "epochs", F.col("last._key").alias("cut_key"),
         F.col("last._tie").alias("cut_tie"), "skipped"), "plan")
+    drop(by, goal, cut)
+    return out
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -204,6 +206,8 @@ def mix(docs: DataFrame, seed: int = 11, most: float = 3.0) -> DataFrame:
     full = keyed(docs.select("doc_id", "text", "source", whole), seed).withColumn("_tie", _tie())
     full = full.select("source", "_row", "_size", "_key", "_tie")
     keys = stored(full.select(F.col("source"), "_size", "_key", "_tie"), "keys")
-    rows = times(_with_source(full, plan(keys, most).drop("source_size", "target")))
+    ends = plan(keys, most).drop("source_size", "target")
+    drop(keys)
+    rows = times(_with_source(full, ends))
     rows = rows.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return rows.select(*[F.col("_row")[c].alias(c) for c in columns])
