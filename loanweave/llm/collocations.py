@@ -42,6 +42,7 @@ APART = BREAKS.copy()
 APART[[9, 32]] = True
 
 BITS = 26  # the bit table has 2^26 bits, 8 MB
+PARTS = 16  # parts of the input that one task of the last pass reads, if there are many
 PHRASES = 1 << 20  # distinct phrases that a task gathers before it hands them over
 
 
@@ -172,7 +173,10 @@ def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
         if parts or whole is not None:
             yield from summed(parts + [whole] if whole is not None else parts).to_batches(1 << 16)
 
-    found = _rows(docs).mapInArrow(run, "lang string, words int, phrase string, f long")
+    # A task sums up several parts of the input, so a phrase leaves it once and not once a part.
+    rows = _rows(docs)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // PARTS)
+    found = rows.coalesce(parts).mapInArrow(run, "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 
 

@@ -212,10 +212,15 @@ def test_equal_fingerprints_come_apart_on_text(spark, monkeypatch):
     monkeypatch.setattr(collocations.Words, "prints", lambda self, at, n: real(self, at, n) & np.uint64(1 << 63))
     batch = pa.RecordBatch.from_pydict({"lang": ["a", "b"], "text": ["x y x y z", "x y"]})
     table = type("B", (), {"value": np.full(2, 2**64 - 1, np.uint64)})()
-    frame = type("D", (), {})
+    frame = type("D", (), {"sparkSession": spark})()
     found = {}
 
     class Rows:
+        rdd = type("R", (), {"getNumPartitions": lambda self: 1})()
+
+        def coalesce(self, n):
+            return self
+
         def mapInArrow(self, run, schema):
             for out in run(iter([batch])):
                 for r in out.to_pylist():
