@@ -7,12 +7,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanweave.functions.keys import NULL_TEXT
+from loanweave.session import settle
 
 SEPARATOR = "\x1f"
 
 
+MICRO = 1_000_000  # fractions are compared as whole millionths
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """All columns as text that does not depend on how an engine prints fractions and times."""
+
+    def text(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.floor(c.cast("double") * MICRO).cast("bigint").cast("string")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        if isinstance(kind, T.ArrayType):
+            return F.array_join(F.transform(c, lambda x: text(x, kind.elementType)), ",", NULL_TEXT)
+        return c.cast("string")
+
+    return df.select(*[text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def row_digest(columns: Sequence[str]) -> Column:
     """sha256 of the row's texts, columns in name order."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TEXT)) for c in sorted(columns)]
@@ -98,3 +118,60 @@ def check_recorded(tables: dict[str, DataFrame], recorded: DataFrame) -> DataFra
         (F.col("n_rows").eqNullSafe(F.col("rows_now"))).alias("rows_match"),
         (F.col("fingerprint").eqNullSafe(F.col("print_now"))).alias("content_matches"),
     )
+
+
+# --- what changed, and where ------------------------------------------------------------------
+
+
+def range_prints(df: DataFrame, key: str, width: int) -> DataFrame:
+    """node, n_rows, fingerprint of the rows whose integer key lies in [node * width, (node + 1) *
+    width); rows without a key are node NULL."""
+    leaf = df.withColumn("node", F.floor(F.col(key) / width).cast("bigint"))
+    return table_fingerprint(leaf, df.columns, ["node"])
+
+
+def print_tree(leaves: DataFrame, fan: int, levels: int) -> DataFrame:
+    """level, node, n_rows, fingerprint: every level adds up the digests of `fan` nodes below, so
+    a recorded tree answers for any range without its rows."""
+    out = [leaves.select(F.lit(0).alias("level"), "node", "n_rows", "fingerprint")]
+    for level in range(1, levels + 1):
+        below = out[-1]
+        out.append(below.groupBy(F.floor(F.col("node") / fan).cast("bigint").alias("node")).agg(
+            F.sum("n_rows").alias("n_rows"),
+            F.sum(F.col("fingerprint").cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("fingerprint"),
+        ).select(F.lit(level).alias("level"), "node", "n_rows", "fingerprint"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def changed_ranges(recorded: DataFrame, now: DataFrame, fan: int) -> DataFrame:
+    """node, rows_then, rows_now of the leaves that differ, found from the top of the trees down:
+    only children of nodes that differ are looked at."""
+    levels = recorded.agg(F.max("level")).first()[0] or 0
+    suspects = None
+    for level in range(levels, -1, -1):
+        old, new = (t.filter(F.col("level") == level).select("node", "n_rows", "fingerprint") for t in (recorded, now))
+        if suspects is not None:
+            old, new = (t.withColumn("up", F.floor(F.col("node") / fan).cast("bigint")).join(
+                suspects, F.col("up").eqNullSafe(F.col("above")), "left_semi").drop("up") for t in (old, new))
+        old = old.select(F.col("node").alias("a"), F.col("n_rows").alias("rows_then"), F.col("fingerprint").alias("f"))
+        both = old.join(new, F.col("a").eqNullSafe(F.col("node")), "full_outer").filter(
+            ~F.col("f").eqNullSafe(F.col("fingerprint")) | ~F.col("rows_then").eqNullSafe(F.col("n_rows")))
+        found = settle(both.select(F.coalesce("a", "node").alias("node"), F.coalesce("rows_then", F.lit(0)).alias("rows_then"),
+                                   F.coalesce("n_rows", F.lit(0)).alias("rows_now")))
+        suspects = found.select(F.col("node").alias("above"))
+    return found
+
+
+def changed_keys(before: DataFrame, after: DataFrame, key: str, width: int, ranges: DataFrame) -> DataFrame:
+    """Keys of the changed ranges whose rows differ; rows of other ranges leave before any digest
+    is made."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        near = df.withColumn("_leaf", F.floor(F.col(key) / width).cast("bigint")).join(
+            ranges.select(F.col("node").alias("_leaf")), "_leaf", "left_semi").select(*df.columns)
+        return table_fingerprint(near.withColumn("_key", F.col(key)), df.columns, ["_key"]).select(
+            F.col("_key").alias(key), F.col("fingerprint").alias(name))
+
+    return side(before, "then").join(side(after, "now"), key, "full_outer").filter(
+        ~F.col("then").eqNullSafe(F.col("now"))).select(
+        key, F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed")
+        .otherwise("changed").alias("change"))

@@ -9,6 +9,7 @@ from loanweave.functions.buckets import collection_strategy
 from loanweave.operators import (
     batch_input,
     data_tests,
+    fingerprint,
     ledger,
     profiling,
     reconciliation,
@@ -17,13 +18,22 @@ from loanweave.operators import (
 )
 from loanweave.operators.asof import asof_join
 from loanweave.operators.findings import report, union
-from loanweave.operators.fingerprint import build_fingerprint, check_recorded, table_fingerprint
+from loanweave.operators.evaluation import with_one_row
+from loanweave.operators.fingerprint import (
+    build_fingerprint,
+    canonical,
+    check_recorded,
+    print_tree,
+    range_prints,
+    table_fingerprint,
+)
 from loanweave.operators.scan import Scan, scan
 from loanweave.plans.catalog import Source, query
 from loanweave.plans.oracle_tables import key, ratio
 from loanweave.plans.planted import planted
 from loanweave.plans.queries_marts import day
 from loanweave.plans.star import RUNS
+from loanweave.session import settle
 from loanweave.sources.contracts import OPERATIONAL
 from loanweave.sources.writers import demo_extract
 
@@ -502,23 +512,25 @@ def top_values(s: Source) -> DataFrame:
 @query(
     "duplicate_rows",
     "U5 Q5",
-    """SELECT 'documents' AS source, count(*) AS num_rows,
-            count(*) - count(DISTINCT text) AS exact_duplicate_rows, count(DISTINCT text) AS kept
-            FROM documents
+    """SELECT 'documents' AS source, (SELECT count(*) FROM documents) AS num_rows, (SELECT count(*)
+            FROM documents) - count(*) AS exact_duplicate_rows, count(*) AS kept
+            FROM (SELECT DISTINCT * FROM documents)
+        UNION ALL SELECT 'documents without id', (SELECT count(*) FROM documents), (SELECT count(*)
+            FROM documents) - count(*), count(*) FROM (SELECT DISTINCT * EXCLUDE (doc_id) FROM documents)
         UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*)
-            FROM lineitem) - count(*), count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber
-            FROM lineitem)""",
+            FROM lineitem) - count(*), count(*) FROM (SELECT DISTINCT * FROM lineitem)""",
 )
 def duplicate_rows(s: Source) -> DataFrame:
+    """Whole rows."""
     out = []
-    for name, cols in (("documents", ["text"]), ("lineitem", ["l_orderkey", "l_linenumber"])):
-        df = s.raw(name).select(*cols)
+    for name, df in (("documents", s.raw("documents")), ("lineitem", s.raw("lineitem")),
+                     ("documents without id", s.raw("documents").drop("doc_id"))):
         size = profiling.duplicate_rows(df).withColumn("source", F.lit(name))
         kept = profiling.drop_repeats(df).agg(
             F.lit(name).alias("source"), F.count(F.lit(1)).alias("kept")
         )
         out.append(size.join(kept, "source"))
-    return out[0].unionByName(out[1])
+    return union(out)
 
 
 @query(
@@ -654,27 +666,60 @@ def reconcile(s: Source) -> DataFrame:
     )
 
 
-_PRINTED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-            "nation": ["n_nationkey", "n_name", "n_regionkey"]}
+# All tables and all their columns: "f" fractions, "t" times, "a" arrays of fractions, "" others.
+_PRINTED = {
+    "benchmark": {"item_id": "", "text": ""},
+    "conversations": {"conv_id": "", "turn": "", "role": "", "text": ""},
+    "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "f", "c_mktsegment": ""},
+    "documents": {"doc_id": "", "text": "", "lang": "", "source": "", "n_chars": ""},
+    "embeddings": {"vec_id": "", "embedding": "a", "label": ""},
+    "events": {"event_id": "", "ts": "t", "user_id": "", "event_type": "", "value": "f", "props": ""},
+    "labels": {"doc_id": "", "quality": "", "toxic": ""},
+    "lineitem": {"l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "f",
+                 "l_extendedprice": "f", "l_discount": "f", "l_tax": "f", "l_returnflag": "", "l_linestatus": "",
+                 "l_shipdate": "t"},
+    "nation": {"n_nationkey": "", "n_name": "", "n_regionkey": ""},
+    "orders": {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "f", "o_orderdate": "t",
+               "o_orderpriority": ""},
+    "pages": {"page_id": "", "url": "", "html": ""},
+    "part": {"p_partkey": "", "p_name": "", "p_brand": "", "p_type": "", "p_size": "", "p_retailprice": "f"},
+    "region": {"r_regionkey": "", "r_name": ""},
+    "supplier": {"s_suppkey": "", "s_name": "", "s_nationkey": "", "s_acctbal": "f"},
+}
+_TEXT = {
+    "": "cast({c} AS varchar)",
+    "f": "cast(cast(floor({c} * 1000000) AS bigint) AS varchar)",
+    "t": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+    "a": r"array_to_string(list_transform({c}, lambda x: coalesce(cast(cast(floor(cast(x AS double) * 1000000) "
+         r"AS bigint) AS varchar), '\x00NULL\x00')), ',')",
+}
+
+
+def _digest_sql(table: str) -> str:
+    parts = ", ".join(rf"coalesce({_TEXT[k].format(c=c)}, '\x00NULL\x00')" for c, k in sorted(_PRINTED[table].items()))
+    return f"cast(cast('0x' || substr(sha256(concat_ws(chr(31), {parts})), 1, 15) AS bigint) AS decimal(38,0))"
 
 
 def _print_sql(table: str) -> str:
-    parts = ", ".join(
-        rf"coalesce(cast({c} AS varchar), '\x00NULL\x00')" for c in sorted(_PRINTED[table])
-    )
-    digest = f"substr(sha256(concat_ws(chr(31), {parts})), 1, 15)"
-    return (f"SELECT '{table}' AS table_name, count(*) AS n_rows, cast(sum(cast(cast('0x' || "
-            f"{digest} AS bigint) AS decimal(38,0))) AS varchar) AS fingerprint FROM {table}")
+    return (f"SELECT '{table}' AS table_name, count(*) AS n_rows, "
+            f"cast(sum({_digest_sql(table)}) AS varchar) AS fingerprint FROM {table}")
 
 
 @query("table_fingerprints", "Q10 A10", " UNION ALL ".join(_print_sql(t) for t in _PRINTED))
 def table_fingerprints(s: Source) -> DataFrame:
-    parts = [
-        table_fingerprint(s.raw(t), cols).select(
-            F.lit(t).alias("table_name"), "n_rows", "fingerprint")
-        for t, cols in _PRINTED.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    """All columns of all tables."""
+    return union([
+        table_fingerprint(canonical(s.raw(t))).select(F.lit(t).alias("table_name"), "n_rows", "fingerprint")
+        for t in _PRINTED
+    ])
+
+
+def _repriced(s: Source) -> dict[str, DataFrame]:
+    """All tables, some orders at another price."""
+    out = {t: s.raw(t) for t in _PRINTED}
+    moved = F.when(F.col("o_orderkey") % 5000 == 123, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    out["orders"] = out["orders"].withColumn("o_totalprice", moved)
+    return out
 
 
 @query(
@@ -684,18 +729,40 @@ def table_fingerprints(s: Source) -> DataFrame:
         b AS (SELECT count(*) AS tables, cast(sum(n_rows) AS bigint) AS n_rows,
             sha256(string_agg(table_name || '|' || n_rows || '|' || fingerprint, chr(10)
                 ORDER BY table_name)) AS fingerprint FROM t)
-        SELECT tables, n_rows, fingerprint, 2::bigint AS rows_match, 2::bigint AS content_matches
+        SELECT tables, n_rows, fingerprint, tables AS rows_match,
+            tables - (SELECT count(*) > 0 FROM orders WHERE o_orderkey % 5000 = 123)::bigint AS content_matches
         FROM b""",
 )
 def build_print(s: Source) -> DataFrame:
-    tables = {t: s.raw(t).select(*cols) for t, cols in _PRINTED.items()}
-    recorded = table_fingerprints(s)
-    again = check_recorded(tables, recorded).agg(
-        F.lit(2).cast("bigint").alias("tables"),
+    """The tables, and a later check of them with some prices changed."""
+    recorded = settle(table_fingerprints(s))
+    again = check_recorded({t: canonical(df) for t, df in _repriced(s).items()}, recorded).agg(
         F.count_if("rows_match").alias("rows_match"),
         F.count_if("content_matches").alias("content_matches"),
     )
-    return build_fingerprint(tables).join(again, "tables")
+    return with_one_row(build_fingerprint({t: canonical(s.raw(t)) for t in _PRINTED}), again)
+
+
+LEAF, TREE_FAN, TREE_LEVELS = 256, 16, 3
+
+
+@query(
+    "changed_ranges",
+    "Q9",
+    f"""SELECT 'range' AS kind, o_orderkey // {LEAF} * {LEAF} AS first_key, count(*) AS rows_then, count(*) AS rows_now
+        FROM orders GROUP BY 2 HAVING count(*) FILTER (WHERE o_orderkey % 5000 = 123) > 0
+        UNION ALL SELECT 'changed', o_orderkey, 1, 1 FROM orders WHERE o_orderkey % 5000 = 123""",
+)
+def located(s: Source) -> DataFrame:
+    """Ranges whose digests differ from the recorded ones, then the keys inside them."""
+    before, after = s.raw("orders"), _repriced(s)["orders"]
+    trees = [settle(print_tree(range_prints(df, "o_orderkey", LEAF), TREE_FAN, TREE_LEVELS)) for df in (before, after)]
+    ranges = fingerprint.changed_ranges(*trees, TREE_FAN)
+    keys = fingerprint.changed_keys(before, after, "o_orderkey", LEAF, ranges)
+    one = F.lit(1).cast("bigint")
+    return ranges.select(F.lit("range").alias("kind"), (F.col("node") * LEAF).alias("first_key"), "rows_then", "rows_now"
+                         ).unionByName(keys.select(F.col("change").alias("kind"), F.col("o_orderkey").alias("first_key"),
+                                                   one.alias("rows_then"), one.alias("rows_now")))
 
 
 # --- ledger operators ------------------------------------------------------------------
