@@ -95,5 +95,5 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    for module in ("marts", "segments", "checks", "scores", "models"):
+    for module in ("marts", "segments", "checks", "scores", "models", "io"):
         importlib.import_module(f"loanweave.plans.queries_{module}")
