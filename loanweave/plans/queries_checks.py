@@ -30,9 +30,9 @@ from loanweave.operators.fingerprint import (
 from loanweave.operators.scan import Scan, scan
 from loanweave.plans.catalog import Source, query
 from loanweave.plans.oracle_tables import key, ratio
-from loanweave.plans.planted import planted
+from loanweave.plans.planted import every, planted, spoil
 from loanweave.plans.queries_marts import day
-from loanweave.plans.star import RUNS
+from loanweave.plans.star import RUNS, STRESS
 from loanweave.session import settle
 from loanweave.sources.contracts import OPERATIONAL
 from loanweave.sources.writers import demo_extract
@@ -389,8 +389,10 @@ _TESTS = {
     "balance_components": "SELECT count(*) FROM acct WHERE abs(total_balance - "
     "(outstanding_principal + outstanding_interest + outstanding_fees)) > 0.01",
     "balance_non_negative": "SELECT count(*) FROM acct WHERE total_balance < 0",
-    "contract_not_before_decision": "SELECT 0",
-    "decision_not_before_submission": "SELECT 0",
+    # The tests below run over tables with planted violations; see the query.
+    "contract_not_before_decision": "SELECT count(*) FROM con WHERE contract_id % 70 = 13",
+    "decision_not_before_submission": "SELECT count(*) FROM app WHERE outcome IS NOT NULL "
+    "AND application_id % 60 = 11",
     "late_counts_nested": "SELECT count(*) FROM delinq WHERE contracts_90plus > contracts_60plus "
     "OR contracts_60plus > contracts_30plus OR contracts_30plus > total_contracts",
     "keys_do_not_collide": f"SELECT count(*) FROM (SELECT c_custkey FROM customer CROSS JOIN runs "
@@ -399,7 +401,7 @@ _TESTS = {
     "AND a.contract_id = b.contract_id AND b.snapshot_date > a.snapshot_date "
     "WHERE a.contract_status IN ('settled', 'charged_off') "
     "AND b.contract_status IN ('active', 'delinquent')",
-    "only_completed_runs": "SELECT 0",
+    "only_completed_runs": "SELECT count(*) FROM runs WHERE run_id = 'RUN_stress'",
     "pre_shock_identical": "SELECT count(*) FROM (SELECT snapshot_date FROM delinq "
     "WHERE snapshot_date < DATE '1999-01-01' AND scenario IN ('baseline', "
     "'macroeconomic_stress') GROUP BY 1 HAVING count(DISTINCT balance_90plus) > 1 "
@@ -407,7 +409,8 @@ _TESTS = {
     "prior_status_from_past": "SELECT count(*) FROM acct a WHERE a.prior_status IS DISTINCT FROM "
     "(SELECT arg_max(b.contract_status, b.snapshot_date) FROM acct b WHERE b.run_id = a.run_id "
     "AND b.contract_id = a.contract_id AND b.snapshot_date < a.snapshot_date)",
-    "row_counts_reconcile": "SELECT 0",
+    "row_counts_reconcile": "SELECT (SELECT count(*) > 0 FROM customer WHERE c_custkey % 50 = 1)::bigint "
+    "+ (SELECT count(*) > 0 FROM pay WHERE contract_id % 95 = 8)::bigint",
     "recovery_within_write_off": "SELECT count(*) FROM woo WHERE recovery_amount > amount",
     "no_recovery_fanout": "SELECT count(*) FROM (SELECT run_id, write_off_id FROM woo "
     "GROUP BY 1, 2 HAVING count(*) > 1)",
@@ -426,15 +429,24 @@ def data_test_summary(s: Source) -> DataFrame:
     names = ("customers", "applications", "contracts", "installments", "payments",
              "account_monthly_snapshots", "write_off_events", "recovery_events")
     staged = {n: w.stg(n) for n in names}
+    # Violations that the derived portfolio has none of: early contracts and decisions, a run that
+    # failed, rows lost on the way.
+    staged["customers"] = staged["customers"].filter(F.col("customer_id") % 50 != 1)
+    staged["payments"] = staged["payments"].filter(F.col("contract_id") % 95 != 8)
+    early = spoil(w.journey, "contract_date", every("application_id", 70, 13),
+                  F.col("contract_date") - F.expr("INTERVAL 10 DAYS"))
+    hasty = spoil(w.journey, "decision_timestamp", every("application_id", 60, 11),
+                  F.col("decision_timestamp") - F.expr("INTERVAL 400 DAYS"))
+    runs = spoil(w.stg("generation_runs"), "status", F.col("run_id") == STRESS, F.lit("failed"))
     return data_tests.summary({
         "balance_components": data_tests.balance_components(w.account_monthly),
         "balance_non_negative": data_tests.balance_non_negative(w.account_monthly),
-        "contract_not_before_decision": data_tests.contract_not_before_decision(w.journey),
-        "decision_not_before_submission": data_tests.decision_not_before_submission(w.journey),
+        "contract_not_before_decision": data_tests.contract_not_before_decision(early),
+        "decision_not_before_submission": data_tests.decision_not_before_submission(hasty),
         "late_counts_nested": data_tests.late_counts_nested(w.delinquency),
         "keys_do_not_collide": data_tests.keys_do_not_collide(w.stg("customers")),
         "terminal_stays_terminal": data_tests.terminal_stays_terminal(w.account_monthly),
-        "only_completed_runs": data_tests.only_completed_runs(w.stg("generation_runs")),
+        "only_completed_runs": data_tests.only_completed_runs(runs),
         "pre_shock_identical": data_tests.pre_shock_identical(w.stress),
         "prior_status_from_past": data_tests.prior_status_from_past(w.history),
         "row_counts_reconcile": data_tests.row_counts_reconcile(s.tables, staged, names),

@@ -322,10 +322,25 @@ def subgroup_metrics(s: Source) -> DataFrame:
     return ev.subgroup_metrics(scores(s), ["lang", "quality"], 0.6)
 
 
+cte(
+    "osc",
+    """SELECT o_orderkey AS id, (o_orderstatus = 'F')::int AS y, year(o_orderdate) AS quality,
+    o_totalprice / (o_totalprice + 150000.0::double) AS p, o_orderpriority AS lang FROM orders""",
+)
+
+
+def order_scores(s: Source) -> DataFrame:
+    """A larger population with groups of adequate size: orders by priority and year."""
+    return s.raw("orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        (F.col("o_totalprice") / (F.col("o_totalprice") + 150000.0)).alias("p"),
+        F.col("o_orderpriority").alias("lang"), F.year("o_orderdate").alias("quality"))
+
+
 @query(
     "group_gaps",
     "E17 O6",
-    f"""WITH {_SUBGROUP},
+    f"""WITH {_SUBGROUP.replace("FROM sc", "FROM osc")},
         t AS (SELECT attribute, "group", n, metric, value FROM (UNPIVOT (SELECT attribute, "group",
             n, true_positive_rate, false_positive_rate, precision, selection_rate, roc_auc FROM f)
             ON true_positive_rate, false_positive_rate, precision, selection_rate, roc_auc
@@ -341,7 +356,7 @@ def subgroup_metrics(s: Source) -> DataFrame:
         FROM t JOIN g ON t.attribute = g.attribute AND t.metric = g.metric WHERE n >= 100""",
 )
 def group_gaps(s: Source) -> DataFrame:
-    return ev.group_gaps(ev.subgroup_metrics(scores(s), ["lang", "quality"], 0.6))
+    return ev.group_gaps(ev.subgroup_metrics(order_scores(s), ["lang", "quality"], 0.6))
 
 
 @query(
