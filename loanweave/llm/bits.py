@@ -19,7 +19,7 @@ FLUSH = 4 << 20  # fingerprints that a task gathers before it counts them
 COUNTS = "print long, n long"
 
 
-def counted(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def counted(parts: Iterable[np.ndarray], flush: int | None = None) -> Iterator[pa.RecordBatch]:
     """print, n: the distinct fingerprints of a task's arrays, some millions at a time."""
 
     def batch(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -30,7 +30,7 @@ def counted(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         held.append(part)
         size += len(part)
-        if size >= FLUSH:
+        if size >= (flush or FLUSH):
             yield batch(held)
             held, size = [], 0
     if size:

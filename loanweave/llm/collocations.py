@@ -41,6 +41,7 @@ BREAKS[[10, 11, 12, 13, *map(ord, ".,;:!?")]] = True
 APART = BREAKS.copy()
 APART[[9, 32]] = True
 
+FLUSH = 2 << 20  # fingerprints that a task gathers before it counts them
 BITS = 26  # the bit table has 2^26 bits, 8 MB
 PARTS = 16  # parts of the input that one task of the last pass reads, if there are many
 PHRASES = 1 << 20  # distinct phrases that a task gathers before it hands them over
@@ -113,7 +114,7 @@ def frequent(docs: DataFrame, lengths: list[int], least: int, table, bits: int)
                 for n in lengths:
                     yield words.prints(_candidates(words, n, known, bits), n)
 
-        yield from counted(prints())
+        yield from counted(prints(), FLUSH)
 
     return at_least(_rows(docs).mapInArrow(run, COUNTS), least)
 
@@ -165,13 +166,15 @@ def phrases(docs: DataFrame, table, bits: int, least: int) -> DataFrame:
                 continue
             parts += of_batch(words, known)
             held = sum(map(len, parts))
-            if held >= max(PHRASES // 8, len(whole or ())):
+            if held >= PHRASES // 4:
                 whole, parts = summed(parts + [whole] if whole is not None else parts), []
                 if len(whole) >= PHRASES:
                     yield from whole.to_batches(1 << 16)
                     whole = None
         if parts or whole is not None:
             yield from summed(parts + [whole] if whole is not None else parts).to_batches(1 << 16)
+        del whole, parts
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     # A task sums up several parts of the input, so a phrase leaves it once and not once a part.
     rows = _rows(docs)

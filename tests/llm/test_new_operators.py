@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loanweave.llm import bits, centroids, collocations, linking, ngram_join
+from loanweave.llm import centroids, collocations, linking, ngram_join
 
 # --- n-gram join --------------------------------------------------------------------------
 
@@ -199,7 +199,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, table_bits):
     """Also with a bit table so small that it holds nothing back, and little memory."""
     rows = phrase_rows()
     if table_bits < 26:
-        monkeypatch.setattr(bits, "FLUSH", 50)
+        monkeypatch.setattr(collocations, "FLUSH", 50)
         monkeypatch.setattr(collocations, "PHRASES", 64)
     frame = spark.createDataFrame([(l, t, 1) for l, t in rows], "lang string, text string, f int").repartition(3)
     got = collocations.collocations(frame, least=8, top=12, bits=table_bits).collect()
