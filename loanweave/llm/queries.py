@@ -107,7 +107,6 @@ WITH RECURSIVE d AS MATERIALIZED (
             (('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE
                 + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
         FROM documents)),
-strata AS (SELECT greatest(1, count(*) // 20000) AS n FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
 -- Sources that reach their limit first come first; level if exactly the earlier ones are at it.
@@ -121,32 +120,26 @@ l AS (SELECT arg_min(level, ratio) AS level FROM r WHERE level * weight < cap),
 t AS (SELECT source, source_size, target,
         CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs
     FROM (SELECT s.source, source_size, least(3.0::DOUBLE * source_size, coalesce(level, 0) * weight) AS target FROM s, l)),
-p AS (SELECT d.*, t.source_size, t.target, t.epochs, t.target - t.epochs * t.source_size AS rest,
-        floor((1 - exp(-key)) * strata.n) AS stratum
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, strata),
-b AS (SELECT source, stratum, sum(size) AS s,
-        coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM p GROUP BY source, stratum),
-q AS MATERIALIZED (SELECT p.*, b.before, b.before + b.s <= rest AS inside, b.before <= rest AND b.before + b.s > rest AS border,
-        row_number() OVER (PARTITION BY p.source, p.stratum ORDER BY key, line) AS k
-    FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND p.stratum = b.stratum),
+q AS MATERIALIZED (SELECT d.*, t.source_size, t.target, t.epochs, t.target - t.epochs * t.source_size AS rest,
+        row_number() OVER (PARTITION BY d.source ORDER BY key, line) AS k
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 walk AS (
-    SELECT source, 0::BIGINT AS k, before::DOUBLE AS done, false AS took, false AS stop FROM q WHERE border AND k = 1
+    SELECT source, 0::BIGINT AS k, 0::DOUBLE AS done, false AS took, false AS stop FROM q WHERE k = 1
     UNION ALL
     SELECT q.source, q.k, CASE WHEN rest - done > 0.0005::DOUBLE * target AND done + size <= rest THEN done + size ELSE done END,
         rest - done > 0.0005::DOUBLE * target AND done + size <= rest, rest - done <= 0.0005::DOUBLE * target
-    FROM walk JOIN q ON q.border AND q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k + 1 WHERE NOT stop),
+    FROM walk JOIN q ON q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k + 1 WHERE NOT stop),
 ends AS (SELECT source, max(done) AS done FROM walk GROUP BY source),
 late AS (SELECT q.source, arg_min(q.k, abs(ed + size - rest) * 1e6 + q.k * 1e-3) AS k, min(abs(ed + size - rest)) AS off, any_value(rest - ed) AS gap
-    FROM walk JOIN q ON q.border AND q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k
+    FROM walk JOIN q ON q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k
     JOIN (SELECT source AS es, done AS ed FROM ends) ON es IS NOT DISTINCT FROM q.source
     WHERE NOT took AND walk.k > 0 GROUP BY q.source),
 extra AS (SELECT source, k FROM walk WHERE took
     UNION ALL SELECT source, k FROM late WHERE off < gap)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-    epochs + (inside OR coalesce(border AND e.k IS NOT NULL, false))::BIGINT AS times,
-    size * (epochs + (inside OR coalesce(border AND e.k IS NOT NULL, false))::BIGINT) AS taken
-FROM q LEFT JOIN extra e ON border AND q.source IS NOT DISTINCT FROM e.source AND q.k = e.k
+    epochs + (e.k IS NOT NULL)::BIGINT AS times,
+    size * (epochs + (e.k IS NOT NULL)::BIGINT) AS taken
+FROM q LEFT JOIN extra e ON q.source IS NOT DISTINCT FROM e.source AND q.k = e.k
 """
 
 

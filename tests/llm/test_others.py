@@ -38,16 +38,52 @@ def test_mixing(docs, no_docs, monkeypatch):
     assert mixing.mix_counts(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
-def test_mixing_meets_targets_with_many_strata(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_STRATUM", 50)
-    rows = [(i, "w " * (1 + i * 7 % 40), "big" if i % 3 else f"s{i % 5}") for i in range(1500)]
+def walked(units, rest, enough):
+    """Rows (key, tie, size of one row, size of all) in order: what a plain walk takes."""
+    done, taken, passed = 0, set(), []
+    for key, tie, size, s in sorted(units):
+        passed.append((tie, s))
+        if rest - done <= enough:
+            break
+        if done + s <= rest:
+            taken.add(tie)
+            done += s
+    left = [(abs(done + s - rest), j, tie) for j, (tie, s) in enumerate(passed) if tie not in taken]
+    if left and min(left)[0] < rest - done:
+        taken.add(min(left)[2])
+    return taken
+
+
+@pytest.mark.parametrize("long", [0, 4000, 9000])
+@pytest.mark.parametrize("parts", ["1", "40"])
+def test_mixing_meets_targets_over_many_parts(spark, long, parts):
+    """One document longer than what is missing, at three places; parts of a few rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = [(i, "w " * (1 + i * 7 % 11), "abc"[i % 3]) for i in range(1500)]
+    rows += [(5000 + j, "w " * long, "a") for j in range(1 if long else 0)]
+    rows += [(6000, "w w w", "b")] * 30
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
-    by = collections.defaultdict(lambda: [0, 0.0])
-    for r in mixing.mix_counts(frame).join(frame.select("doc_id", "source"), "doc_id").collect():
-        by[r.source][0] += r.taken
-        by[r.source][1] = r.target
-    for taken, target in by.values():
-        assert abs(taken - target) <= max(2, 0.002 * target)
+    try:
+        got = mixing.mix_counts(frame).collect()
+        keys = mixing.keyed(frame, 11).select("source", "doc_id", "_size", "_key", mixing._tie()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for source in "abc":
+        target = {r.target for r in got if r.doc_id in {k.doc_id for k in keys if k.source == source}}.pop()
+        mine = [k for k in keys if k.source == source]
+        total = sum(k._size for k in mine)
+        epochs = int(target // total)
+        sizes = collections.defaultdict(int)
+        for k in mine:
+            sizes[k._tie] += k._size
+        units = {(k._key, k._tie, k._size, sizes[k._tie]) for k in mine}
+        taken = walked(units, target - epochs * total, mixing.TOLERANCE * target)
+        want = {k.doc_id: epochs + (k._tie in taken) for k in mine}
+        assert {r.doc_id: r.times for r in got if r.doc_id in want} == want
+        # What is short enough for the rest may add up to less than the rest.
+        rest = target - epochs * total
+        near = epochs * total + min(rest, sum(s for *_, s in units if s <= rest))
+        assert abs(sum(r.taken for r in got if r.doc_id in want) - near) <= max(11, 0.001 * target)
 
 
 def test_statistics_and_rejects(spark, docs, no_docs):
