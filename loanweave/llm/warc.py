@@ -3,11 +3,13 @@
 Writing: a capture is a response or revisit record, a request record and a metadata record; the
 two latter point to the first by WARC-Concurrent-To. Each record is a gzip member of its own.
 Captures with equal payloads of at least `least` bytes share one response, that with the largest
-page_id; the others are revisits that refer to it. Only digests and ids meet in that shuffle;
-they are summed up per digest before, so a payload that a third of the pages share is no hot key.
+page_id; the others are revisits that name its record id, which follows from page_id and digest.
+Only digests and ids meet in that shuffle; they are summed up per digest before, so a payload
+that a third of the pages share is no hot key.
 
 Reading: records of all files are joined by the concurrent-to identifier, whatever file they are
 in, into one nested row a capture. Payloads stay out of the shuffle unless they are asked for.
+The page a revisit refers to is looked up by the record id it names.
 """
 
 from __future__ import annotations
@@ -39,20 +41,31 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _few(side: DataFrame) -> DataFrame:
+    """Few rows, once counted, go to all tasks; else it is a join whose hot partitions Spark splits."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Adds `_leader`, the page_id of the response with this payload; null if it stands alone."""
+    """Adds `_leader`, the page_id of the response with this payload (null if it stands alone),
+    and `_named`: whether this row is the one response that revisits name.
+
+    Of rows that repeat the largest page_id of a payload the first one read is named.
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n"))
-    groups = (rows.where(F.col("_n") >= least).groupBy("_sha")
-              .agg(F.max("page_id").alias("_leader"), F.count("*").alias("_rows"))
-              .where("_rows > 1").select("_sha", "_leader"))
+    rows = pages.select("page_id", "url", "html", F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n"),
+                        F.monotonically_increasing_id().alias("_line"))
+    each = (rows.where(F.col("_n") >= least).groupBy("_sha", "page_id")
+            .agg(F.count("*").alias("_rows"), F.min("_line").alias("_first")))
+    groups = each.groupBy("_sha").agg(
+        F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "_rows", "_first"))).alias("_top"),
+        F.sum("_rows").alias("_all")).where("_all > 1").select(
+        "_sha", F.col("_top.page_id").alias("_leader"), (F.col("_top._rows") == 1).alias("_lone"), "_top._first")
     groups = stored(groups, "payloads")
-    # Few payloads that repeat go to all tasks, once counted; else a join whose hot partitions
-    # Spark splits.
-    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    joined = rows.join(groups, "_sha", "left")
-    return joined.withColumn("_leader", F.when(F.col("_n") >= least, F.col("_leader")))
+    joined = rows.join(_few(groups), "_sha", "left")
+    joined = joined.withColumn("_leader", F.when(F.col("_n") >= least, F.col("_leader")))
+    named = (F.col("page_id") == F.col("_leader")) & (F.col("_lone") | (F.col("_line") == F.col("_first")))
+    return joined.withColumn("_named", F.coalesce(named, F.lit(False)))
 
 
 def _line(text) -> str:
@@ -68,11 +81,25 @@ def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return out.getvalue()
 
 
-def capture(page_id: int | None, url: str | None, html: str | None, leader: int | None, name: str) -> list[bytes]:
-    """The three records of one capture; `name` makes their identifiers unique."""
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
+
+
+def response_id(page_id: int, digest: str) -> str:
+    """Id of the response that revisits with this payload name."""
+    return record_id(f"page/{page_id}/{digest}")
+
+
+def capture(
+    page_id: int | None, url: str | None, html: str | None, leader: int | None, name: str, named: bool = False,
+) -> list[bytes]:
+    """The three records of one capture; `name` makes their identifiers unique, but a response
+    that is `named` has the identifier that revisits know."""
     payload = (html or "").encode()
     digest = base32_sha1(payload)
-    ids = {k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}/{k}')}>" for k in ("main", "request", "metadata")}
+    ids = {k: record_id(f"{name}/{k}") for k in ("main", "request", "metadata")}
+    if named:
+        ids["main"] = response_id(page_id, digest)
     revisit = leader is not None and leader != page_id
     uri = _line(url) if url else "urn:page"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
@@ -84,7 +111,7 @@ def capture(page_id: int | None, url: str | None, html: str | None, leader: int
     main = headers("revisit" if revisit else "response", "main", "application/http; msgtype=response")
     main.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if revisit:
-        main += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{leader}>")]
+        main += [("WARC-Profile", PROFILE), ("WARC-Refers-To", response_id(leader, digest))]
     other = [("WARC-Concurrent-To", ids["main"])]
     ask = f"GET {uri} HTTP/1.1\r\nUser-Agent: loanweave\r\n\r\n".encode()
     about = json.dumps({"page_id": page_id, "url": url, "payload_bytes": len(payload)}).encode()
@@ -106,14 +133,15 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                            ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC 1.1\r\n")
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield from capture(row["page_id"], row["url"], row["html"], row["_leader"], f"{name}/{done['captures']}")
+                    yield from capture(row["page_id"], row["url"], row["html"], row["_leader"],
+                                       f"{name}/{done['captures']}", row["_named"])
                     done["captures"] += 1
 
         path, size = write_file(folder, "pages.warc.gz", chunks())
         if done["captures"]:
             yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "captures": done["captures"]}])
 
-    typed = with_types(pages, least).select(F.col("page_id").cast("long"), "url", "html", F.col("_leader").cast("long"))
+    typed = with_types(pages, least).select(F.col("page_id").cast("long"), "url", "html", F.col("_leader").cast("long"), "_named")
     return stored(typed.mapInArrow(run, "path string, bytes long, captures long"), "archives")
 
 
@@ -190,20 +218,34 @@ def transactions(found: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
+    """`captures` without the nested columns: page_id, payload_bytes, payload_digest,
+    record_type, refers_to."""
+    return captures(pages, least).drop("main", "requests", "metadata")
+
+
+def captures(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read the captures back.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty
-    payload, and empty payloads are equal to each other. Rows that repeat the largest page_id of
-    a payload are all responses. A null page_id is a response if it stands alone, and never
-    one that others refer to. An empty table writes nothing and gives no rows.
+    page_id, payload_bytes, payload_digest, record_type, refers_to, and the capture itself:
+    main, requests, metadata. `refers_to` is the page of the record that a revisit names, found
+    in the archives by that record's id. Null html is an empty payload, and empty payloads are
+    equal to each other. Rows that repeat the largest page_id of a payload are all responses;
+    revisits name one of them. A null page_id is a response if it stands alone, and never one
+    that others refer to. An empty table writes nothing and gives no rows.
     """
     folder = new_folder(pages.sparkSession, "warc")
     archives = write(pages, folder, least)
     found = transactions(read_records(archives.repartition(max(1, archives.count())), folder))
+    found = stored(found, "captures")
+    page = F.col("metadata")[0]["page_id"]
+    # One row for each payload that several pages share.
+    wanted = found.select(F.col("main.refers_to").alias("capture")).where("capture IS NOT NULL").distinct()
+    named = stored(found.select("capture", page.alias("refers_to")).join(wanted, "capture", "left_semi"), "named")
+    named = _few(named).withColumnRenamed("capture", "_named")
+    found = found.join(named, F.col("main.refers_to") == F.col("_named"), "left")
     about = F.col("metadata")[0]
     return found.select(
         about["page_id"].alias("page_id"),
         F.coalesce(about["payload_bytes"], F.col("main.payload_bytes")).alias("payload_bytes"),
         F.coalesce(F.col("main.payload_sha1"), F.col("main.digest")).alias("payload_digest"),
-        F.col("main.type").alias("record_type"),
-        F.regexp_extract(F.col("main.refers_to"), r"urn:page:(-?\d+)", 1).try_cast("long").alias("refers_to"))
+        F.col("main.type").alias("record_type"), "refers_to", "main", "requests", "metadata")

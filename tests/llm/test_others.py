@@ -175,6 +175,23 @@ def test_archives(spark):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+def test_revisits_name_a_record_of_the_archives(spark):
+    pages = spark.createDataFrame(
+        [(1, "u", "same"), (2, "u", "same"), (9, "u", "same"), (9, "u", "same"), (4, "u", "other"), (5, None, None),
+         (6, "u", ""), (None, "u", "same"), (7, "u", "x" * 3_000_000)], "page_id long, url string, html string").repartition(3)
+    found = warc.captures(pages).collect()
+    ids = {r.main.record_id: r for r in found}
+    assert len(found) == 9 == len(ids)
+    revisits = [r for r in found if r.record_type == "revisit"]
+    assert sorted((r.page_id or 0, r.refers_to) for r in revisits) == [(0, 9), (1, 9), (2, 9), (5, 6)]
+    for r in revisits:
+        named = ids[r.main.refers_to]
+        assert named.record_type == "response" and named.page_id == r.refers_to
+        assert named.payload_digest == r.payload_digest
+    assert all(len(r.requests) == 1 == len(r.metadata) for r in found)
+    assert {r.payload_bytes for r in found if r.page_id == 7} == {3_000_000}
+
+
 def test_transactions_nest_records_of_one_capture(spark):
     folder = store.new_folder(spark, "test")
     pages = spark.createDataFrame([(1, "http://a/", "hello")], "page_id long, url string, html string")
