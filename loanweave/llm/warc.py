@@ -50,22 +50,27 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """Adds `_leader`, the page_id of the response with this payload (null if it stands alone),
     and `_named`: whether this row is the one response that revisits name.
 
-    Of rows that repeat the largest page_id of a payload the first one read is named.
+    Rows that repeat the largest page_id of a payload are stored, so that the choice of one of
+    them holds whenever a lost task reads its input again.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n"),
-                        F.monotonically_increasing_id().alias("_line"))
-    each = (rows.where(F.col("_n") >= least).groupBy("_sha", "page_id")
-            .agg(F.count("*").alias("_rows"), F.min("_line").alias("_first")))
+    rows = pages.select("page_id", "url", "html", F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n"))
+    each = rows.where(F.col("_n") >= least).groupBy("_sha", "page_id").agg(F.count("*").alias("_rows"))
     groups = each.groupBy("_sha").agg(
-        F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "_rows", "_first"))).alias("_top"),
+        F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "_rows"))).alias("_top"),
         F.sum("_rows").alias("_all")).where("_all > 1").select(
-        "_sha", F.col("_top.page_id").alias("_leader"), (F.col("_top._rows") == 1).alias("_lone"), "_top._first")
+        "_sha", F.col("_top.page_id").alias("_leader"), F.coalesce(F.col("_top._rows") == 1, F.lit(True)).alias("_lone"))
     groups = stored(groups, "payloads")
     joined = rows.join(_few(groups), "_sha", "left")
     joined = joined.withColumn("_leader", F.when(F.col("_n") >= least, F.col("_leader")))
-    named = (F.col("page_id") == F.col("_leader")) & (F.col("_lone") | (F.col("_line") == F.col("_first")))
-    return joined.withColumn("_named", F.coalesce(named, F.lit(False)))
+    head = F.coalesce(F.col("page_id") == F.col("_leader"), F.lit(False))
+    if not groups.where("NOT _lone").limit(1).count():
+        return joined.withColumn("_named", head)
+    repeated = stored(joined.where(head & ~F.col("_lone")).withColumn("_line", F.monotonically_increasing_id()), "repeated")
+    firsts = repeated.groupBy("_sha").agg(F.min("_line").alias("_first"))
+    repeated = repeated.join(_few(firsts), "_sha").withColumn("_named", F.col("_line") == F.col("_first"))
+    others = joined.where(~head | F.col("_lone")).withColumn("_named", head)
+    return others.unionByName(repeated.drop("_line", "_first"))
 
 
 def _line(text) -> str:
