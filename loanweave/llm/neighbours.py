@@ -2,7 +2,8 @@
 
 Vectors are made unit length, projected to a few dimensions by a random orthogonal map, shifted
 by a random offset and put on a grid; the Hilbert index of the cell is the key of a curve. Each
-curve has its own map and offset. Rows are range-partitioned by (curve, key), numbered, and cut
+curve has its own map and offset. The grid is fine (12 bits a dimension, a key of two longs), so
+that rows of a dense group fall into different cells and each curve orders them in its own way. Rows are range-partitioned by (curve, key), numbered, and cut
 into blocks of a bounded number of rows. A query looks at the rows whose number on the curve is
 within a window of its own; what the curves find is merged and ranked by the exact cosine.
 
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from loanweave.llm.store import ship, stored
 
-CURVES, DIMENSIONS, BITS = 12, 10, 4
+CURVES, DIMENSIONS, BITS = 12, 10, 12
 SHARE, LEAST_WINDOW, BLOCK = 0.08, 2048, 2048
 SALTS = 64
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Index on the Hilbert curve of each row of grid coordinates (Skilling's transposition)."""
+def hilbert_bits(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Index on the Hilbert curve of each row of grid coordinates (Skilling's transposition);
+    bit b of array i is bit b * d + d - 1 - i of the index."""
     x = [cells[:, i].astype(np.int64) for i in range(cells.shape[1])]
     d = len(x)
     for b in range(bits - 1, 0, -1):
@@ -46,22 +48,34 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     flip = np.zeros(len(cells), np.int64)
     for b in range(bits - 1, 0, -1):
         flip = np.where((x[d - 1] & (1 << b)) != 0, flip ^ ((1 << b) - 1), flip)
-    key = np.zeros(len(cells), np.int64)
-    for b in range(bits - 1, -1, -1):
-        for i in range(d):
-            key = (key << 1) | (((x[i] ^ flip) >> b) & 1)
+    return [at ^ flip for at in x]
+
+
+def packed(x: list[np.ndarray], top: int, low: int) -> np.ndarray:
+    """The bits of an index from level top - 1 down to level low as one long."""
+    key = np.zeros(len(x[0]), np.int64)
+    for b in range(top - 1, low - 1, -1):
+        for at in x:
+            key = (key << 1) | ((at >> b) & 1)
     return key
 
 
-def curve_keys(unit: np.ndarray, curve: int, seed: int = 5) -> np.ndarray:
-    """Keys of unit vectors on one curve; the map depends on seed, dimension and curve."""
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Index on the Hilbert curve of each row of grid coordinates, of at most 63 bits."""
+    return packed(hilbert_bits(cells, bits), bits, 0)
+
+
+def curve_keys(unit: np.ndarray, curve: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unit vectors on one curve, upper and lower half; the map depends on seed,
+    dimension and curve."""
     dim = unit.shape[1]
     rng = np.random.Generator(np.random.PCG64([seed, dim, curve]))
     low = min(DIMENSIONS, dim)
     axes = np.linalg.qr(rng.standard_normal((dim, low)))[0]
     at = (unit @ axes * np.sqrt(dim) + rng.uniform(0, 1, low) + 4) / 9
     cells = np.clip((at * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-    return hilbert(cells, BITS)
+    x = hilbert_bits(cells, BITS)
+    return packed(x, BITS, BITS // 2), packed(x, BITS // 2, 0)
 
 
 def groups(rows: DataFrame, query_every: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,8 +120,8 @@ def on_curves(vectors: DataFrame, curves: int, partitions: int) -> DataFrame:
                 for c in range(curves):
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim * 1000 + c)), pa.array(curve_keys(unit, c)), *part.columns],
-                        names=["curve", "key", *part.schema.names])
+                        [pa.array(np.full(n, dim * 1000 + c)), *map(pa.array, curve_keys(unit, c)), *part.columns],
+                        names=["curve", "key", "fine", *part.schema.names])
 
     def number(batches):
         curve, r = None, 0
@@ -121,9 +135,9 @@ def on_curves(vectors: DataFrame, curves: int, partitions: int) -> DataFrame:
                 r += hi - lo
             yield batch.append_column("local", pa.array(local))
 
-    schema = "curve long, key long, gid long, first long, asked boolean, v array<double>"
-    keyed = vectors.mapInArrow(keys, schema).repartitionByRange(partitions, "curve", "key", "gid")
-    cells = keyed.sortWithinPartitions("curve", "key", "gid").mapInArrow(number, schema + ", local long")
+    schema = "curve long, key long, fine long, gid long, first long, asked boolean, v array<double>"
+    keyed = vectors.mapInArrow(keys, schema).repartitionByRange(partitions, "curve", "key", "fine", "gid")
+    cells = keyed.sortWithinPartitions("curve", "key", "fine", "gid").mapInArrow(number, schema + ", local long")
     cells = stored(cells.withColumn("cell", F.spark_partition_id()), "curves")
     # One row a curve and partition.
     sums = cells.groupBy("curve", "cell").agg(F.count("*").alias("n"))

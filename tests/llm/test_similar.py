@@ -231,3 +231,23 @@ def test_word_hashes_match_words_of_any_slice(monkeypatch):
     assert (whole == cut).all() and (first == first2).all()
     words = [w for t in texts for w in re.findall("[^\t-\r ]+", t or "")]
     assert len(words) == len(whole) and len(set(words)) == len(set(whole.tolist()))
+
+
+def test_curves_tell_rows_of_a_dense_group_apart():
+    """A third of the rows lie around one vector; their neighbours are found in small windows."""
+    rng = np.random.default_rng(1)
+    n, window = 6000, 240
+    x = rng.standard_normal((n, 64))
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + 0.001 * rng.standard_normal((n // 3, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n // 3, 40)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-score, axis=1)[:, :5]
+    hit = np.zeros(best.shape, bool)
+    for c in range(neighbours.CURVES):
+        upper, lower = neighbours.curve_keys(unit, c)
+        place = np.empty(n, int)
+        place[np.lexsort((lower, upper))] = np.arange(n)
+        hit |= np.abs(place[best] - place[asked][:, None]) <= window
+    assert hit.mean() >= 0.9
