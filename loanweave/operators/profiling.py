@@ -99,7 +99,8 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     )
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     return (
-        counts.join(small.select("column"), "column", "left_semi")
+        # One row a column at most: broadcast, or all values of a column would meet in one task.
+        counts.join(F.broadcast(small.select("column")), "column", "left_semi")
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= TOP_VALUES)
     )

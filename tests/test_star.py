@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from loanweave.operators import ledger
+from loanweave.operators import ledger, profiling
 from loanweave.plans import star
 
 DAY = dt.datetime(1996, 3, 1)
@@ -71,3 +71,16 @@ def test_repeated_orders_keep_their_rows(spark, folder):
     assert runs == {}  # status P is booked by no run, except multiples of three by the expansion
     assert t["_schedule"].filter("contract_id = 5").count() == 0
     assert t["_schedule"].filter("contract_id = 1").count() == 3 * len(star.RUNS)
+
+
+def test_top_values_of_a_long_column_stay_apart(spark):
+    rows = [("a", f"text {i}") for i in range(50)] + [("b", None), ("b", "text 1")]
+    out = profiling.top_values(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted((r["column"], r["value"], r["n"], r["rank"]) for r in out.collect()) == [
+        ("lang", "a", 50, 1), ("lang", "b", 2, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in _plan(profiling.top_values(out.select("column", "value")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
