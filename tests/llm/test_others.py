@@ -54,6 +54,27 @@ def walked(units, rest, enough):
     return taken
 
 
+@pytest.mark.parametrize("parts", ["1", "9", "30"])
+def test_mixing_does_not_depend_on_the_parts(spark, parts):
+    """Long documents that no longer fit in a later part, though nothing was skipped before it."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = [(i, "w " * (1 + (i * i * 37) % 400), f"s{i % 12:02d}") for i in range(480)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    try:
+        got = mixing.mix_counts(frame).collect()
+        keys = mixing.keyed(frame, 11).select("source", "doc_id", "_size", "_key", mixing._tie()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    times, target = {r.doc_id: r.times for r in got}, {r.doc_id: r.target for r in got}
+    for source in {k.source for k in keys}:
+        mine = [k for k in keys if k.source == source]
+        total, goal = sum(k._size for k in mine), target[mine[0].doc_id]
+        epochs = int(goal // total)
+        units = [(k._key, k._tie, k._size, k._size) for k in mine]
+        taken = walked(units, goal - epochs * total, mixing.TOLERANCE * goal)
+        assert {k.doc_id: times[k.doc_id] for k in mine} == {k.doc_id: epochs + (k._tie in taken) for k in mine}
+
+
 @pytest.mark.parametrize("long", [0, 4000, 9000])
 @pytest.mark.parametrize("parts", ["1", "40"])
 def test_mixing_meets_targets_over_many_parts(spark, long, parts):
