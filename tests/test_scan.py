@@ -92,6 +92,30 @@ def test_running_sum_and_next_value(spark, rows):
                        equal_nan=True)
 
 
+def test_rows_are_shuffled_once(spark):
+    """Groups over many parts, in one part, null groups and a NaN group: the carried rows are few
+    and broadcast, whatever the number of groups."""
+    groups = [float("nan"), None, -1.0, 2.0] + [10.0 + i for i in range(60)]
+    data = [(x, j, "k" if j % 2 else None, j) for x in groups for j in range(40 if x == 2.0 or x is None else 3)]
+    df = spark.createDataFrame(data, "g double, t int, h string, w int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scan(df, ["g", "h"], "t", Scan({"cum": "w"}, {"last": "w"}, {"nxt": "w"}, {"all": "w"}), cells=17)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert len(got) == len(data)
+    name = lambda x: "nan" if x is not None and x != x else x
+    for r in got:
+        mine = sorted(w for g, _, h, w in data if name(g) == name(r.g) and h == r.h)
+        later = [w for w in mine if w > r.w]
+        assert (r.cum, r["last"], r.nxt, r["all"]) == (
+            sum(w for w in mine if w <= r.w), r.w, later[0] if later else None, sum(mine))
+
+
 def test_average_ranks(spark, rows):
     got = average_ranks(spark.createDataFrame(rows), ["g"], "v", "r", 40).toPandas()
     got = got.sort_values("id")
