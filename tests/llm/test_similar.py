@@ -68,6 +68,26 @@ def test_short_lines_take_part(spark, monkeypatch, tmp_path):
     assert 101 not in left and {100, 102} <= left  # a whole copy leaves no stub
 
 
+@pytest.mark.parametrize("heavy", [500, 0])
+def test_long_like_lines_meet_at_few_keys(spark, monkeypatch, heavy):
+    """Lines that share a hundred words share as many keys, with pairs of words their square."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 3 << 10)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(110)]
+    lines = [" ".join(rng.sample(words, 100) + [f"own{i}"]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = line_dedup._sets(docs, 0.8, 1)
+    rows = line_dedup._prefix(sets)(sets).cache()
+    met = collections.Counter((r.later, r.earlier) for r in line_dedup._met(rows, 0.8).collect())
+    at = {r.sid: set(lines[r.k].split(" ")) for r in sets.collect()}
+    alike = {(b, a) for a in at for b in at if a < b and len(at[a] & at[b]) >= 0.8 * len(at[a] | at[b]) - 1e-9}
+    assert alike and alike <= set(met)
+    shared = rows.alias("a").join(rows.alias("b"), "key").where("a.sid < b.sid").count()
+    assert sum(met.values()) * 3 < shared
+    rows.unpersist()
+
+
 def test_line_dedup_edge_cases(docs, no_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BUCKETS", 3 << 10)
     done = line_dedup.dedup(docs)
