@@ -250,3 +250,30 @@ def test_give_up_days_needs_every_month_end(spark):
         gap = spark.createDataFrame([("r", "c", d) for d in days], schema)
         with pytest.raises(Exception, match="every month end"):
             ledger.ledger_state(gap, i, steps, 60).collect()
+
+
+def test_time_line_is_read_by_linear_windows(spark):
+    """No frame runs to the end of a contract, which goes through its rows once more for each row,
+    and money is added up in 64 bits."""
+    i = spark.createDataFrame([inst("i1", date(2024, 1, 10), 50)], INST)
+    steps = ledger.installment_steps(i, ledger.settled_movements(
+        spark.createDataFrame([], ALLOC), spark.createDataFrame([], PAY)))
+    probes = spark.createDataFrame([("r", "c", date(2024, 1, 31))],
+                                   "run_id string, contract_id string, snapshot_date date")
+    plan = ledger.ledger_state(probes, i, steps)._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    assert "decimal(28,2)" not in plan
+
+
+def test_next_due_date_may_be_the_day_itself(spark):
+    insts = [inst("i1", date(2024, 1, 31), 50), inst("i2", date(2024, 3, 10), 50)]
+    i = spark.createDataFrame(insts, INST)
+    steps = ledger.installment_steps(i, ledger.settled_movements(
+        spark.createDataFrame([], ALLOC), spark.createDataFrame([], PAY)))
+    days = [date(2024, 1, 31), date(2024, 2, 29), date(2024, 3, 31)]
+    probes = spark.createDataFrame([("r", "c", d) for d in days],
+                                   "run_id string, contract_id string, snapshot_date date")
+    for give_up in (None, 60):
+        got = ledger.ledger_state(probes, i, steps, give_up).orderBy("snapshot_date").collect()
+        assert [(r.next_due_date, r.oldest_due) for r in got] == [
+            (date(2024, 1, 31), None), (date(2024, 3, 10), date(2024, 1, 31)), (None, date(2024, 1, 31))]
