@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loanweave.functions.buckets import sample_tier
 from loanweave.functions.money import ratio
 from loanweave.operators.marts import comparable_cohorts, roll_forward_from_current
+from loanweave.session import settle
 
 
 def _finding(df: DataFrame, question: str, title: str, unit: str, size: Column,
@@ -76,6 +77,7 @@ def insight_table(
     q = base(cures).groupBy("scenario").agg(
         F.count_if("was_ever_cured").alias("cured"), F.count_if("redefaulted").alias("again")
     )
+    q = settle(q)  # of all contracts
     out.append(_finding(q, "CUR-02", "redefault", "count", c("cured"), c("again"), c("cured")))
     w = base(writeoffs).groupBy("scenario").agg(
         F.sum("write_off_count").alias("n"), F.sum("total_write_off_amount").alias("lost"),

@@ -482,6 +482,8 @@ _LAST = """(SELECT * FROM delinq WHERE scenario = 'baseline' QUALIFY row_number(
 )
 def insights(s: Source) -> DataFrame:
     w = s.wh
+    # Each mart has a few rows a month; as one plan the driver would hold all of them at once.
+    w.settle("funnel", "portfolio", "delinquency", "rolls", "vintages", "writeoffs", "scenarios", "stress")
     return insight_table(w.funnel, w.portfolio, w.delinquency, w.rolls, w.vintages, w.cures,
                          w.writeoffs, w.scenarios, w.stress)
 

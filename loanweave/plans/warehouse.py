@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from loanweave.operators import marts, staging
 from loanweave.operators import star_models as models
+from loanweave.session import settle
 
 
 class Warehouse:
@@ -20,6 +21,12 @@ class Warehouse:
     def stg(self, table: str) -> DataFrame:
         return staging.stage(table, self.tables[table])
 
+    def settle(self, *names: str) -> None:
+        """Works out the named tables now, one after the other, and keeps their rows; what is built
+        on them reads these. For marts of few rows, whose plans would else stand in one another."""
+        for name in names:
+            self.__dict__[name] = settle(getattr(self, name))
+
     # Intermediate.
 
     @cached_property
