@@ -426,6 +426,7 @@ _TESTS = {
 )
 def data_test_summary(s: Source) -> DataFrame:
     w = s.wh
+    w.settle("delinquency", "writeoffs")
     names = ("customers", "applications", "contracts", "installments", "payments",
              "account_monthly_snapshots", "write_off_events", "recovery_events")
     staged = {n: w.stg(n) for n in names}

@@ -84,3 +84,24 @@ def test_top_values_of_a_long_column_stay_apart(spark):
         assert "SortMergeJoin" not in _plan(profiling.top_values(out.select("column", "value")))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_checks_and_marts_are_worked_out_one_at_a_time(spark, folder):
+    """The driver never holds the plans of all contracts, tests or marts at once."""
+    from loanweave.operators import data_tests, validation
+    from loanweave.plans.warehouse import Warehouse
+    from loanweave.sources.contracts import OPERATIONAL
+
+    t = star.StarPortfolio(spark, folder)
+    names = ("contracts", "payments")
+    few = {n: OPERATIONAL[n] for n in names}
+    report = validation.validate_all(few, {n: t[n] for n in names}, "strict", ("run_id",))
+    assert "Exchange" not in _plan(report) and "MapInArrow" not in _plan(report)
+    w = Warehouse(t)
+    summary = data_tests.summary({"balance_non_negative": data_tests.balance_non_negative(w.account_monthly)})
+    assert [(r.test, r.violations) for r in summary.collect()] == [("balance_non_negative", 0)]
+    assert "Aggregate" not in _plan(summary)
+    before = w.delinquency
+    w.settle("delinquency")
+    assert "Aggregate" not in _plan(w.delinquency)
+    assert w.delinquency.exceptAll(before).count() == before.exceptAll(w.delinquency).count() == 0
